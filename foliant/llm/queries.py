@@ -6,21 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
+from .simhash import near_duplicates
 
+LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 KEY_SQL = r"translate(trim({x}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = drop_common_lines(read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE = {
+    "op1_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, {LOWER_SQL.format(x="coalesce(text, '')")} AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+        FROM d JOIN g USING (t)
+    """,
     "op4_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, u.i AS pos, u.line AS line, {KEY_SQL.format(x="u.line")} AS key

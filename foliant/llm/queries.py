@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .packing import pack
 from .simhash import near_duplicates
+from .warc import read_warc, write_warc
 
 LOWER_SQL = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 KEY_SQL = r"translate(trim({x}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,11 +35,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_warc(spark, write_warc(read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE = {
@@ -60,4 +67,12 @@ ORACLE = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN common c USING (key) GROUP BY doc_id
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS digest FROM pages),
+             f AS (SELECT digest, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY digest)
+        SELECT page_id, octet_length(b) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (digest)
+    """,
 }

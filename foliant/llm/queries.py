@@ -9,6 +9,7 @@ from .common import read
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .packing import pack
+from .quality_rank import quality_scores
 from .simhash import near_duplicates
 from .warc import read_warc, write_warc
 
@@ -30,6 +31,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -44,6 +50,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality_rank": op6_quality_rank,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_warc": op10_warc,
 }

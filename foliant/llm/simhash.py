@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = components(links).withColumnRenamed("node", "fp")
     placed = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(ids, "component").select("fp", "component_id")
+    # Written first: the join below then stands right on two shuffles, and AQE can split a hot fingerprint's rows.
+    placed = stored(placed.join(ids, "component").select("fp", "component_id"), "members")
     return found.join(placed, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

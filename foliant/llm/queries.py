@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
+from .media import encode_media, media_features
 from .packing import pack
 from .quality_rank import quality_scores
 from .simhash import near_duplicates
@@ -27,6 +28,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_features(encode_media(read(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = drop_common_lines(read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -55,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_media_jpeg": op3_media_jpeg,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rank": op6_quality_rank,
     "op7_toxicity": op7_toxicity,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .edit_counts import counts_after_edits
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .media import encode_media, media_features
 from .packing import pack
+from .pieces import decode_pieces, encode_pieces
 from .quality_rank import quality_scores
 from .simhash import near_duplicates
 from .toxicity import toxicity_scores
@@ -39,6 +41,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def three_edits(text: Column) -> Column:
+    """A revision for every document: a span cut a third in, words put in at two thirds, the start replaced."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    third = (n / 3).cast("int")
+    edits = [(third, third + 20, ""), (2 * third, 2 * third, " revised in 2024, "), (F.lit(0), F.lit(5), "It's")]
+    parts = [F.struct(F.lit(a).alias("start") if isinstance(a, int) else a.alias("start"), b.alias("end"), F.lit(c).alias("new")) for a, b, c in edits]
+    return F.array(*[p.cast("struct<start:int,end:int,new:string>") for p in parts])
+
+
+def op5_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    found = counts_after_edits(read(spark, sf_dir, "documents"), three_edits(F.col("text")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
@@ -49,6 +66,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded again from its ids."""
+    found = decode_pieces(encode_pieces(read(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_ids", "ids_crc32", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
@@ -64,8 +87,10 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_media_jpeg": op3_media_jpeg,
     "op4_line_dedup": op4_line_dedup,
+    "op5_edit_token_counts": op5_edit_token_counts,
     "op6_quality_rank": op6_quality_rank,
     "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_warc": op10_warc,
 }

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import quality
+
+MODULES = [quality]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

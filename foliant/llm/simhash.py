@@ -5,11 +5,11 @@ segment differs by one bit at most: with at most 4 differing bits that is 3 segm
 one variant for each of its bits, with that bit as a wildcard; two segments that differ by one bit at
 most share a variant. Fingerprints meet by equality of variants and are verified bit by bit.
 
-Fingerprints are made distinct first, so exact copies cost nothing. A variant held by more than ``block``
-fingerprints is split into blocks and each pair of blocks verified as a group of its own; inside a group
-a search over what is not yet reached finds the links that hold the group together, so a dense group
-of near copies yields about as many links as members, not all its pairs. No link between different
-components' members is lost: every pair of a group is compared unless both are joined already.
+Fingerprints are made distinct first, so exact copies cost nothing. Crowded variants are split further,
+without loss, by pieces of the other bits and then into blocks (see ``fingerprint_links``). Inside a
+group a search over what is not yet reached finds the links that hold the group together, so a dense
+group of near copies yields about as many links as members, not all its pairs. Every pair of a group is
+compared unless both are joined already.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored, texts_of, width
@@ -88,7 +88,7 @@ def _reach(fps: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(differ: int):
-    """Links within runs of equal (key, i, j) of rows that are sorted by them."""
+    """Links within runs of equal (key, piece, i, j) of rows that are sorted by them."""
 
     def of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
@@ -107,13 +107,13 @@ def _links(differ: int):
         return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        held_k, held_f = np.zeros((0, 4), np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
             held_k = np.concatenate([held_k, keys])
-            held_f = np.concatenate([held_f, batch.column(3).to_numpy().view(np.uint64)])
+            held_f = np.concatenate([held_f, batch.column(4).to_numpy().view(np.uint64)])
             whole = np.flatnonzero((held_k != held_k[-1]).any(axis=1))
             cut = int(whole[-1]) + 1 if len(whole) else 0  # the last run may go on in the next batch
             if cut:
@@ -129,29 +129,50 @@ def _links(differ: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, differ: int = 4, block: int = 8192) -> DataFrame:
-    """Links (a, b) between the distinct longs ``fp`` of a table, enough to join all that differ by ``differ`` bits at most."""
-    spark = fps.sparkSession
+def _with_count(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with ``n``: how many share their key, counted in the shuffle that brings them together; lone rows go."""
+    spread = rows.repartition(width(rows.sparkSession), *by)
+    return spread.select("*", F.count("*").over(Window.partitionBy(*by)).alias("n")).where("n > 1")
+
+
+def fingerprint_links(fps: DataFrame, differ: int = 4, crowded: int = 4096, block: int = 8192) -> DataFrame:
+    """Links (a, b) between the distinct longs ``fp`` of a table, enough to join all that differ by ``differ`` bits at most.
+
+    Up to ``crowded`` fingerprints of one variant are a group. Of more, the bits outside the segment are cut into
+    ``differ`` + 1 pieces, of which two that link share one: groups are then of a variant and a piece. What is
+    still over ``block`` there, near copies for the most part, is split into blocks, and pairs of blocks are groups.
+    """
     fp = F.col("fp")
-    variants = []
-    for s, (start, bits) in enumerate(segments(64, differ)):
+    variants, pieces = [], []
+    for start, bits in segments(64, differ):
         value = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
+        first = len(variants)
         for bit in range(bits):
-            number = len(variants)
-            variants.append(value.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << bit))).bitwiseOR(F.lit(number << 40)))
+            variants.append(value.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << bit))).bitwiseOR(F.lit(len(variants) << 40)))
+        high = F.shiftrightunsigned(fp, start + bits) if start + bits < 64 else F.lit(0).cast("long")
+        rest = F.shiftleft(high, start).bitwiseOR(fp.bitwiseAND(F.lit((1 << start) - 1)))
+        cuts = [(64 - bits) * k // (differ + 1) for k in range(differ + 2)]
+        own = [F.shiftrightunsigned(rest, i).bitwiseAND(F.lit((1 << (j - i)) - 1)).bitwiseOR(F.lit((k + 1) << 32)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        pieces.append((first, len(variants), F.array(*own)))
     rows = fps.select("fp", F.explode(F.array(*variants)).alias("key"))
-
-    # How many share a variant: counted beside the rows, in the shuffle that brings them together.
-    met = rows.repartition(width(spark), "key").selectExpr("key", "fp", "count(*) over (partition by key) as n").where("n > 1")
+    met = _with_count(rows, ["key"])
+    none = F.lit(0).cast("long")
+    groups = met.where(F.col("n") <= crowded).select("key", none.alias("piece"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+
+    number = F.shiftrightunsigned("key", 40)
+    of_segment = F.coalesce(*[F.when((number >= lo) & (number < hi), array) for lo, hi, array in pieces])
+    crowd = met.where(F.col("n") > crowded).select("key", "fp", F.explode(of_segment).alias("piece"))
+    crowd = _with_count(crowd, ["key", "piece"])
     parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    groups = met.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    groups = groups.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    ordered = groups.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    crowd = crowd.select("key", "piece", "fp", mine.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    groups = groups.unionByName(crowd.select("key", "piece", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"))
+    by = ["key", "piece", "i", "j"]
+    ordered = groups.repartition(width(fps.sparkSession), *by).sortWithinPartitions(*by)
     return ordered.mapInArrow(_links(differ), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, block: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, crowded: int = 4096, block: int = 8192) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id that can be reached).
 
     Fingerprints link at ``differ`` or fewer differing bits; equal ones always do, those of empty texts (zero)
@@ -164,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = stored(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"), "fingerprints")
     distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    links = stored(fingerprint_links(distinct.select("fp"), differ, block), "links")
+    links = stored(fingerprint_links(distinct.select("fp"), differ, crowded, block), "links")
     member = components(links).withColumnRenamed("node", "fp")
     placed = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))

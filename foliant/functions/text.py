@@ -150,12 +150,12 @@ def html_body(html: Column) -> Column:
 
 def is_pdf(path: Column, content: Column) -> Column:
     """By name and by a signature within the first 1024 bytes."""
-    head = F.decode(F.substring(content, 1, 1024), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
     return F.coalesce(F.lower(path).endswith(".pdf") & head.contains("%PDF-"), F.lit(False))
 
 
 def pdf_version(content: Column) -> Column:
-    head = F.decode(F.substring(content, 1, 8), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(content, 1, 8), "ISO-8859-1")
     return F.nullif(F.regexp_extract(head, r"%PDF-(\d+\.\d+)", 1), F.lit(""))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry, quality
+from . import geometry, quality, selection, text
 
-MODULES = [quality, geometry]
+MODULES = [quality, geometry, text, selection]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -5,10 +5,11 @@ from __future__ import annotations
 import html as html_lib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..shipping import ship
 from .lexicon import LANGUAGE_CODES
 
 #: What trimming strips: blanks and NUL, but not the form feed.
@@ -126,16 +127,27 @@ def _strip_tags(s: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def strip_tags(texts: pd.Series) -> pd.Series:
-    """As a state machine: a quoted > ends no tag, and < before a blank is text."""
+def _tags_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else _strip_tags(s))
 
 
 @F.pandas_udf(StringType())
-def decode_entities(texts: pd.Series) -> pd.Series:
+def _entities_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else html_lib.unescape(s))
 
 
+def strip_tags(text: Column) -> Column:
+    """As a state machine: a quoted > ends no tag, and < before a blank is text."""
+    ship(SparkSession.active())
+    return _tags_udf(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """All named and numbered entities; ``xml_entities`` does the five of XML without Python."""
+    ship(SparkSession.active())
+    return _entities_udf(text)
+
+
 def xml_entities(text: Column) -> Column:
     """The five entities that tools emit."""
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):

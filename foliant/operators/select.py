@@ -82,7 +82,7 @@ def extract_text(documents: DataFrame, candidates: DataFrame, key: str, embedded
         both = both.join(found.withColumnRenamed("result", name), key, "left")
     both = with_quality(both.withColumn("_t", F.col("by_text.text")).withColumn("_o", F.col("by_ocr.text")), "_t", options.language, "_t_score")
     both = with_quality(both, "_o", options.language, "_o_score")
-    better = F.lit(options.quality_check) & (F.col("_t_score") < options.threshold) & F.col("by_ocr").isNotNull() & (F.col("_o_score") > F.col("_t_score"))
+    better = F.lit(options.quality_check) & F.col("by_text").isNotNull() & (F.col("_t_score") < options.threshold) & F.col("by_ocr").isNotNull() & (F.col("_o_score") > F.col("_t_score"))
     embedded_way = F.col("_embedded") & F.lit(not options.force_ocr)
     chosen = F.when(F.col("preferred").isNotNull(), F.col("preferred")).when(embedded_way, F.when(better, F.col("by_ocr")).otherwise(F.col("by_text"))).otherwise(F.col("by_ocr"))
     return _unpacked(both, key, chosen)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _strip_tags
+from ..shipping import ship
 from .registry import WRITERS, Registry
 
 # Fixed value: the name an invoice's XML gets where none is given.
@@ -167,4 +168,5 @@ def render_pdfs(contents: DataFrame, preferred: str | None = None) -> DataFrame:
             made = [create_pdf({"content": c or "", "type": k, "metadata": dict(m or {})}, preferred, registry=registry) for c, k, m in zip(rows["content"], rows["type"], rows["metadata"], strict=True)]
             yield pd.DataFrame({"key": rows["key"], "pdf": made})
 
+    ship(contents.sparkSession)
     return contents.select("key", "content", "type", "metadata").mapInPandas(run, f"key {contents.schema['key'].dataType.simpleString()}, pdf binary")

@@ -101,8 +101,11 @@ def _cautious_odds(on: np.ndarray, off: np.ndarray, n_on: int, n_off: int) -> np
     return np.clip(odds - np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5)), 0, 4)
 
 
-def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int = 4, batch: int = 128) -> Scorer:
-    """The network fitted on labelled texts; ``counts``: labelled rows of class 0 and 1 in all, for the calibration."""
+def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int = 4, batch: int = 128, least_steps: int = 140) -> Scorer:
+    """The network fitted on labelled texts; ``counts``: labelled rows of class 0 and 1 in all, for the calibration.
+
+    Small samples are gone over more often, so that there are ``least_steps`` steps.
+    """
     rng = np.random.default_rng(11)
     p = net.fresh(rng)
     if not (labels == 1).any() or not (labels == 0).any():  # nothing to tell apart
@@ -141,8 +144,9 @@ def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int
             y.append(labels[k])
     y = np.array(y, np.float32)
     adam = net.Adam(p, 0.01)
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(lanes) // batch))))
     for epoch in range(epochs):
-        adam.rate = 0.01 * 0.5**epoch
+        adam.rate = 0.01 * 0.5 ** (4 * epoch // epochs)
         order = rng.permutation(len(lanes))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]

@@ -19,7 +19,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def r6(x: Column) -> Column:
-    return F.round(x, 6)
+    """Rounded; a negative zero becomes zero."""
+    return F.round(x, 6) + F.lit(0.0)
 
 
 def quoted(s: str) -> str:

@@ -39,11 +39,11 @@ def _info() -> Column:
     k = F.col("p_partkey")
     return F.concat(
         F.lit("Title:   Part "), k.cast("string"), F.lit("\nPages:          "), (k % 9).cast("string"), F.lit("\nPage size:      "),
-        F.col("p_size").cast("string"), F.lit(".5 x "), (k % 700 + 100).cast("string"), F.lit(" pts (custom)\nPage rot:       "), ((k % 4) * 90).cast("string"), F.lit("\nLanguage: de\nTitle: last"),
+        F.col("p_size").cast("string"), F.lit(".5 x "), (k % 700 + 100).cast("string"), F.lit(".3 pts (custom)\nPage rot:       "), ((k % 4) * 90).cast("string"), F.lit("\nLanguage: de\nTitle: last"),
     )
 
 
-INFO_SQL = "'Title:   Part ' || p_partkey || chr(10) || 'Pages:          ' || (p_partkey % 9) || chr(10) || 'Page size:      ' || p_size || '.5 x ' || (p_partkey % 700 + 100) || ' pts (custom)' || chr(10) || 'Page rot:       ' || ((p_partkey % 4) * 90) || chr(10) || 'Language: de' || chr(10) || 'Title: last'"
+INFO_SQL = "'Title:   Part ' || p_partkey || chr(10) || 'Pages:          ' || (p_partkey % 9) || chr(10) || 'Page size:      ' || p_size || '.5 x ' || (p_partkey % 700 + 100) || '.3 pts (custom)' || chr(10) || 'Page rot:       ' || ((p_partkey % 4) * 90) || chr(10) || 'Language: de' || chr(10) || 'Title: last'"
 
 
 def c1_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +172,11 @@ QUERIES = {
     "C14_effective": c14_effective, "C15_margins": c15_margins, "C16_crops": c16_crops, "C17_fit": c17_fit,
 }
 
-_DESCRIBE = f"printf('%s %s (%.1f × %.1f mm)', coalesce({DETECT_SQL}, 'Custom'), CASE WHEN w > h THEN 'Landscape' ELSE 'Portrait' END, w * 25.4::DOUBLE / 72, h * 25.4::DOUBLE / 72)"
+_DESCRIBE = f"printf('%s %s (%.1f × %.1f mm)', coalesce({DETECT_SQL}, 'Custom'), CASE WHEN w > h THEN 'Landscape' ELSE 'Portrait' END, round((w * 25.4::DOUBLE / 72)::DECIMAL(30, 14), 1)::DOUBLE, round((h * 25.4::DOUBLE / 72)::DECIMAL(30, 14), 1)::DOUBLE)"
 _PAGES_SQL = """docs AS (SELECT l_orderkey AS doc, l_linenumber AS page_number, (l_quantity::INT + 200)::DOUBLE AS w, (l_orderkey % 3 + l_linenumber * 2)::DOUBLE AS h, count(*) OVER (PARTITION BY l_orderkey) AS n,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem), pages AS (
     SELECT doc, page_number, w AS width_pt, h AS height_pt FROM docs WHERE doc % 5 <> 0 UNION ALL SELECT doc, k, 595.28, 841.89 FROM docs WHERE doc % 5 = 0)"""
-_INFO = f"(SELECT p_partkey, (p_size || '.5')::DOUBLE AS w, (p_partkey % 700 + 100)::DOUBLE AS h FROM part WHERE length({INFO_SQL}) > 0)"
+_INFO = f"(SELECT p_partkey, (p_size || '.5')::DOUBLE AS w, ((p_partkey % 700 + 100) || '.3')::DOUBLE AS h FROM part WHERE length({INFO_SQL}) > 0)"
 
 ORACLE = {
     "C1_page_size": f"SELECT p_partkey, w AS width_pt, h AS height_pt, round(p_size * 72.0::DOUBLE / 25.4::DOUBLE, 6) AS from_mm, round(p_size * 72.0::DOUBLE, 6) AS from_inches, true AS no_match FROM {_INFO} JOIN part USING (p_partkey)",
@@ -202,5 +202,5 @@ ORACLE = {
     "C17_fit": f"""WITH {SIZES_SQL}, t AS (SELECT *, (p_partkey % 400 + 100)::DOUBLE AS tw, (p_partkey % 300 + 150)::DOUBLE AS th FROM sizes),
         r AS (SELECT *, (w > h) <> (tw > th) AS rotated FROM t), s AS (SELECT *, CASE WHEN rotated THEN h ELSE w END AS sw, CASE WHEN rotated THEN w ELSE h END AS sh FROM r),
         k AS (SELECT *, least(tw / sw, th / sh) AS scale FROM s), o AS (SELECT *, (tw - sw * scale) / 2 AS x, (th - sh * scale) / 2 AS y FROM k)
-        SELECT p_partkey, rotated, round(scale, 6) AS scale, round(x, 6) AS offset_x, round(y, 6) AS offset_y, NOT (x < 1 AND y < 1) AS centred FROM o""",
+        SELECT p_partkey, rotated, round(scale, 6) AS scale, round(x, 6) + 0.0 AS offset_x, round(y, 6) + 0.0 AS offset_y, NOT (x < 1 AND y < 1) AS centred FROM o""",
 }

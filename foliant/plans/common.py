@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores: a table of one file would otherwise be one task of expensive expressions."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt over all cores if it has fewer splits than those; a larger one is left as it is, without a shuffle.
+
+    A small table of one file would otherwise be one task of expensive expressions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def r6(x: Column) -> Column:

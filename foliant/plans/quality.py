@@ -32,7 +32,7 @@ def _part(name: str):
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a document whose pages are its turns."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return spread(turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\f").alias("text")))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\f").alias("text"))
 
 
 def a7_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def e3_ocr_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e4_selective(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", (F.col("turn") + 1).alias("page")).agg(F.min("text").alias("text"))
     other = turns.select((F.col("conv_id") + 1).alias("conv_id"), "page", "text")
-    got = select.selective_pages(spread(turns), spread(other), "conv_id")
+    got = select.selective_pages(turns, other, "conv_id")
     return got.select("conv_id", F.sha1("text").alias("text_sha1"), "selective_ocr", F.array_join(F.col("low_quality_pages").cast("array<string>"), ",").alias("low_pages"), "mode")
 
 

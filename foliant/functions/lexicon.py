@@ -106,8 +106,16 @@ ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Z
 
 
 def for_java(pattern: str) -> str:
-    """Java's \\b takes other letters for word characters, so the ASCII boundary is written out."""
-    return pattern.replace(r"\b", ASCII_BOUNDARY)
+    """Java's \\b takes other letters for word characters, so ASCII boundaries are written out.
+
+    At the start before a word character, and at the end after one, one look to the side is enough.
+    """
+    flags, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    if body.startswith(r"\b") and not body.startswith(r"\b\w?"):
+        body = "(?<![A-Za-z0-9_])" + body[2:]
+    if body.endswith(r"\b"):
+        body = body[:-2] + "(?![A-Za-z0-9_])"
+    return flags + body.replace(r"\b", ASCII_BOUNDARY)
 
 
 def for_re2(pattern: str) -> str:

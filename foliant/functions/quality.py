@@ -23,21 +23,21 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
-def tokens(text: Column) -> Column:
-    """Split at ASCII blanks; empty edges count."""
-    return F.split(text, r"\s+", -1)
+def token_count(text: Column) -> Column:
+    """Tokens between ASCII blanks; empty edges count."""
+    return F.regexp_count(text, F.lit(r"\s+")) + 1
 
 
 def normalised(text: Column) -> Column:
     """Runs of blanks but line feeds become one space; spaces at line edges go."""
-    return F.regexp_replace(F.regexp_replace(text, r"[^\S\n]+", " "), "(?md)^ | $", "")
+    return F.regexp_replace(F.regexp_replace(text, r"[^\S\n]{2,}|[\t\x0b\f\r]", " "), "(?md)^ | $", "")
 
 
-def missing_score(text: Column) -> Column:
+def missing_score(text: Column, norm: Column | None = None, low: Column | None = None) -> Column:
     """Letters that stand alone before a word, and known words with a letter lost, for each 1000 characters."""
-    t = normalised(text)
-    low = F.lower(t)
-    single = _count(t, r"(?<=\p{L}) \p{L} (?=\p{L}{2})")
+    t = normalised(text) if norm is None else norm
+    low = F.lower(t) if low is None else low
+    single = _count(t, r" (?<=\p{L} )\p{L} (?=\p{L}{2})")
     known = F.lit(0.0)
     for pattern, literal in BROKEN_WORDS:
         n = _count(t, f"(?i){pattern}")
@@ -46,24 +46,35 @@ def missing_score(text: Column) -> Column:
     return _clamp(100 - 15 * rate)
 
 
-def word_score(text: Column, language: Column) -> Column:
-    """Share of tokens in the language's list, over 500 tokens at most, ten times over."""
-    deu, eng = language.contains("deu"), language.contains("eng")
-    words = F.transform(tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
+BOTH_WORDS = [*dict.fromkeys(GERMAN_WORDS + ENGLISH_WORDS)]
 
-    def hits(listed: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(listed)))
 
-    found = F.when(deu & ~eng, hits(GERMAN_WORDS)).when(eng & ~deu, hits(ENGLISH_WORDS)).otherwise(hits([*dict.fromkeys(GERMAN_WORDS + ENGLISH_WORDS)]))
-    return F.least(F.lit(100.0), found / F.least(F.size(words), F.lit(500)) * 1000)
+def hits(text: Column) -> Column:
+    """The tokens, cleaned of all but letters, that either list holds."""
+    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", ""), r"\s+", -1)
+    return F.filter(words, lambda w: w.isin(BOTH_WORDS))
 
 
-def umlaut_score(text: Column, language: Column) -> Column:
+def word_score(text: Column, language: Column, found: Column | None = None) -> Column:
+    """Share of tokens in the language's list, over 500 tokens at most, ten times over."""
+    found = hits(text) if found is None else found
+    deu, eng = language.contains("deu"), language.contains("eng")
+    german, english = (F.size(F.filter(found, lambda w: w.isin(x))) for x in (GERMAN_WORDS, ENGLISH_WORDS))
+    n = F.when(deu & ~eng, german).when(eng & ~deu, english).otherwise(F.size(found))
+    return F.least(F.lit(100.0), n / F.least(token_count(text), F.lit(500)) * 1000)
+
+
+def wrong_umlauts(text: Column) -> Column:
     wrong = F.lit(0.0)
     for pattern, follower in WRONG_UMLAUTS:
         wrong = wrong + _count(text, f"(?i){pattern}(?!{follower})" if follower else f"(?i){pattern}")
-    enough = _count(text, UMLAUTS) >= F.length(text) * 0.005 * 0.5
-    german = F.when(enough, 100 - 5 * wrong).otherwise(50 - 10 * wrong)
+    return wrong
+
+
+def umlaut_score(text: Column, language: Column, wrong: Column | None = None, umlauts: Column | None = None) -> Column:
+    wrong = wrong_umlauts(text) if wrong is None else wrong
+    umlauts = _count(text, UMLAUTS) if umlauts is None else umlauts
+    german = F.when(umlauts >= F.length(text) * 0.005 * 0.5, 100 - 5 * wrong).otherwise(50 - 10 * wrong)
     return _clamp(F.when(language.contains("deu"), german).otherwise(80 - 2 * wrong))
 
 
@@ -73,9 +84,8 @@ def clean_score(text: Column) -> Column:
 
 
 def length_score(text: Column) -> Column:
-    words = tokens(text)
-    n = F.size(words)
-    mean = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n
+    n = token_count(text)
+    mean = F.length(F.regexp_replace(text, r"\s+", "")) / n
     return F.when(n < 10, 50.0).when(mean.between(4, 8), 100.0).when(mean.between(3, 10), 80.0).when(mean.between(2, 12), 60.0).otherwise(40.0)
 
 
@@ -86,23 +96,36 @@ PARTS: dict[str, Callable] = {
     "length_score": lambda t, _: length_score(t),
     "missing_score": lambda t, _: missing_score(t),
 }
+MEASURES = ["_norm", "_low", "_hits", "_wrong", "_umlauts", "_clean_score", "_length_score", "_missing_score"]
 
 
-def with_quality(df: DataFrame, text: str = "text", language: str | Column = LANGUAGE, into: str = "score", parts: bool = False) -> DataFrame:
-    """``df`` with the quality score of a text column; with ``parts`` the five scores stay as columns.
+def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """What scoring a text needs that doesn't depend on the language, each computed once a text."""
+    t = F.col(text)
+    out = df.withColumns({"_norm": normalised(t), "_hits": hits(t), "_wrong": wrong_umlauts(t), "_umlauts": _count(t, UMLAUTS), "_clean_score": clean_score(t), "_length_score": length_score(t)})
+    out = out.withColumn("_low", F.lower("_norm"))
+    return out.withColumn("_missing_score", missing_score(t, F.col("_norm"), F.col("_low"))).drop("_norm", "_low")
 
-    Null, blank and "0" texts score 0. A text whose missing-character score is severe scores just that.
-    """
+
+def scored(measured: DataFrame, text: str, language: Column, into: str = "score", parts: bool = False) -> DataFrame:
+    """The score of texts with measures, in a language for each row."""
     t = F.col(text)
-    lang = F.lit(language) if isinstance(language, str) else language
-    out = df.withColumns({f"_{k}": f(t, lang) for k, f in PARTS.items()})
+    out = measured.withColumns({"_word_score": word_score(t, language, F.col("_hits")), "_umlaut_score": umlaut_score(t, language, F.col("_wrong"), F.col("_umlauts"))})
     total = sum((F.col(f"_{k}") * w for k, w in zip(PARTS, WEIGHTS, strict=True)), F.lit(0.0))
     blank = t.isNull() | php_trim(t).isin("", "0")
     score = F.when(blank, 0.0).when(F.col("_missing_score") < SEVERE, F.col("_missing_score")).otherwise(total)
-    out = out.withColumn(into, score)
+    out = out.withColumn(into, score).drop(*[m for m in MEASURES if m.removeprefix("_") not in PARTS])
     return out.withColumnsRenamed({f"_{k}": k for k in PARTS}) if parts else out.drop(*[f"_{k}" for k in PARTS])
 
 
+def with_quality(df: DataFrame, text: str = "text", language: str | Column = LANGUAGE, into: str = "score", parts: bool = False) -> DataFrame:
+    """``df`` with the quality score of a text column; with ``parts`` the five scores stay as columns.
+
+    Null, blank and "0" texts score 0. A text whose missing-character score is severe scores just that.
+    """
+    return scored(with_measures(df, text), text, F.lit(language) if isinstance(language, str) else language, into, parts)
+
+
 def page_scores(df: DataFrame, key: str, text: str = "text", language: str = LANGUAGE, threshold: float = THRESHOLD, drop_trailing_empty: bool = False) -> DataFrame:
     """(key, scores, average_score, low_quality_pages) of form-feed separated pages, numbered from 1.
 
@@ -111,9 +134,9 @@ def page_scores(df: DataFrame, key: str, text: str = "text", language: str = LAN
     """
     t = F.regexp_replace(F.col(text), "\f$", "") if drop_trailing_empty else F.col(text)
     pages = df.select(key, F.posexplode(F.split(t, "\f", -1)).alias("page", "page_text")).withColumn("page_text", php_trim(F.col("page_text")))
-    scored = with_quality(pages, "page_text", language)
+    rows = with_quality(pages, "page_text", language)
     row = F.struct("page", "score")
-    got = scored.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("average"))
+    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("average"))
     return got.select(
         key,
         F.transform("rows", lambda r: r["score"]).alias("scores"),
@@ -122,12 +145,24 @@ def page_scores(df: DataFrame, key: str, text: str = "text", language: str = LAN
     )
 
 
+def best_language(df: DataFrame, key: str, languages: list[str], text: str = "text") -> DataFrame:
+    """``best_result`` of one text in several languages, in their order: the text is measured once."""
+    measured = with_measures(df.select(key, text), text)
+    listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(x).alias("language")) for k, x in enumerate(languages)])
+    rows = measured.withColumn("c", F.explode(listed)).withColumns({"ord": F.col("c.ord"), "language": F.col("c.language")}).drop("c")
+    return _best(scored(rows, text, F.col("language")), key, "ord", text, "language")
+
+
 def best_result(df: DataFrame, key: str, order: str, text: str = "text", language: str = "language") -> DataFrame:
     """Of each key's candidates the text with the highest score above 0, the first in ``order`` among equals.
 
     A key without one gets empty text and language and 0. Every candidate is scored in its own language.
     """
-    scored = with_quality(df, text, F.col(language)).withColumn("score", F.when(F.col(text).isin("", "0"), 0.0).otherwise(F.col("score")))
+    return _best(with_quality(df, text, F.col(language)), key, order, text, language)
+
+
+def _best(rows: DataFrame, key: str, order: str, text: str, language: str) -> DataFrame:
+    rows = rows.withColumn("score", F.when(F.col(text).isin("", "0"), 0.0).otherwise(F.col("score")))
     best = F.max_by(F.struct(F.col(text).alias("text"), F.col(language).alias("language"), "score"), F.when(F.col("score") > 0, F.struct(F.col("score"), -F.col(order))))
     empty = F.struct(F.lit("").alias("text"), F.lit("").alias("language"), F.lit(0.0).alias("score"))
-    return scored.groupBy(key).agg(F.coalesce(best, empty).alias("best")).select(key, "best.text", "best.language", "best.score")
+    return rows.groupBy(key).agg(F.coalesce(best, empty).alias("best")).select(key, "best.text", "best.language", "best.score")

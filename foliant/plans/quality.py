@@ -48,9 +48,7 @@ def a7_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a8_best_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    languages = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(x).alias("language")) for k, x in enumerate(("deu", "eng", "deu+eng"))])
-    rows = docs.select("doc_id", "text", F.explode(languages).alias("c")).select("doc_id", "text", "c.ord", "c.language")
-    best = q.best_result(rows, "doc_id", "ord")
+    best = q.best_language(docs, "doc_id", ["deu", "eng", "deu+eng"])
     return best.select("doc_id", "language", r6(F.col("score")).alias("score"), F.length("text").cast("long").alias("chars"))
 
 

@@ -11,11 +11,13 @@ def remainder(id_col: str | Column, of: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)), F.lit(-1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None) -> tuple[list[tuple[bytes, int]], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 50_000) -> tuple[list[tuple[bytes, int]], list[int]]:
     """At most ``per_class`` (text, label) of each class, and the number of rows of class 0 and 1 they stand for.
 
     Labels come only from rows whose remainder is not ``held``. Which rows are taken depends on a hash of
-    their id alone; rows with a null id, label or text are left out, and a repeated id counts once.
+    their id alone; rows with a null id, label or text are left out, and a repeated id counts once. Texts
+    over ``max_chars`` are not sampled either, so that what comes to the driver is bounded: they are scored
+    whole like any other, but not learnt from.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(remainder(id_col, folds) != held)
     rows = rows.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
@@ -24,7 +26,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     # The margin makes up for labelled ids that the documents no longer hold.
     ids = [rows.where(F.col("_label") == k).orderBy(*order).limit(2 * per_class) for k in (0, 1)]
     ids = F.broadcast(ids[0].unionByName(ids[1]))  # of a size that per_class sets
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars)
     found = texts.join(ids, "_id")
     picked = [found.where(F.col("_label") == k).orderBy(*order, "_text").limit(per_class) for k in (0, 1)]
     got = picked[0].unionByName(picked[1]).collect()

@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+__all__ = ["ship", "shared_root", "new_folder", "stored", "discard", "remove", "width", "ascii_lower", "row_key", "texts_of", "read"]
 #: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -60,20 +62,6 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each Spark application."""
-    context = spark.sparkContext
-    if getattr(context, "_foliant_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant_code.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(at))
-    context._foliant_shipped = True
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Spark's lower() is the same, and faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

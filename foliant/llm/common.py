@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-__all__ = ["ship", "shared_root", "new_folder", "stored", "discard", "remove", "width", "ascii_lower", "row_key", "texts_of", "read"]
+__all__ = ["ship", "shared_root", "own_folder", "new_folder", "clear", "stored", "discard", "remove", "width", "ascii_lower", "row_key", "texts_of", "read"]
 #: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -31,8 +31,18 @@ def shared_root(spark: SparkSession) -> str:
     return root if "://" in root or root.startswith("file:") else Path(root).absolute().as_uri()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/foliant/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/foliant/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; for when no result of it will be read again."""
+    remove(spark, own_folder(spark))
 
 
 def stored(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

@@ -162,3 +162,15 @@ def test_runs_settle_and_compact(spark):
     assert set(got) == set(total)
     assert all(got[k] == n if n < 5 else got[k] >= 5 for k, n in total.items())
     runs.close()
+
+
+def test_what_was_written_can_be_cleared(spark):
+    from pyarrow import fs as pafs
+
+    from foliant.llm.common import clear, own_folder, stored
+
+    stored(spark.range(3).toDF("a"), "some")
+    at, path = pafs.FileSystem.from_uri(own_folder(spark))
+    assert at.get_file_info(path).type == pafs.FileType.Directory
+    clear(spark)
+    assert at.get_file_info(path).type == pafs.FileType.NotFound

@@ -91,13 +91,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one with the smaller text hash is kept. An empty table gives an empty table.
     """
     found = stored(text_identities(docs, id_col, text_col, block_bytes), "identities")
-    # A hot group's rows are summed before the shuffle, and its join is a skew join that AQE splits.
+    # A hot group's rows are summed before the shuffle. The groups are written first: the join then stands right
+    # on two shuffles, and AQE can split a hot group's rows.
     groups = found.groupBy("level", "name").agg(
         F.max("id").alias("keep_id"),
         F.max_by("row", F.struct(F.col("id"), F.bitwise_not(F.col("row")))).alias("keep_row"),
         F.sum("copies").alias("group_size"),
     )
-    out = found.join(groups, ["level", "name"])
+    out = found.join(stored(groups, "groups"), ["level", "name"])
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
     return out.select("id", "row", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 

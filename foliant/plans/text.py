@@ -143,6 +143,12 @@ def b18_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", t.embedded_text(one, two, F.lit(None).cast("string")).alias("embedded"), t.embedded_text(one, two, F.lit(None).cast("string"), 10).alias("embedded_10"))
 
 
+def b18_embedded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first page (up to the form feed), then its whole text; the tables hold no second extractor's text."""
+    one, none = F.substring_index("text", "\f", 1), F.lit(None).cast("string")
+    return _docs(spark, sf_dir).select("doc_id", t.embedded_text(one, F.col("text"), none).alias("embedded"), t.embedded_text(one, F.col("text"), none, 10).alias("embedded_10"))
+
+
 def b19_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, content = _file()
     embedded = t.embedded_text(F.substring("p_name", 1, 12), F.lit(None).cast("string"), F.col("p_name"))
@@ -194,6 +200,7 @@ QUERIES = {
     "B6_document_html": b6_document_html, "B7_content": b7_content, "B8_types": b8_types, "B9_content_html": b9_content_html, "B10_content_text": b10_content_text,
     "B11_body": b11_body, "B12_is_pdf": b12_is_pdf, "B13_version": b13_version, "B14_metadata_lines": b14_metadata_lines, "B15_page_count": b15_page_count,
     "B16_language": b16_language, "B17_widened": b17_widened, "B18_embedded": b18_embedded, "B19_scanned": b19_scanned, "B20_enough": b20_enough,
+    "B18_embedded_whole": b18_embedded_whole,
     "B21_markers": b21_markers, "B22_invoice_names": b22_invoice_names, "B23_invoice_content": b23_invoice_content, "B24_has_invoice": b24_has_invoice, "B25_invoice": b25_invoice,
 }
 
@@ -230,6 +237,7 @@ ORACLE = {
     "B16_language": f"WITH c(k, v) AS (VALUES {_CODES}), d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN lang || '-XX' WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE lang END AS g FROM documents) SELECT doc_id, v AS code FROM d LEFT JOIN c ON k = lower(trim(g))",
     "B17_widened": f"SELECT doc_id, CASE WHEN c IN ('deu', 'eng') THEN 'deu+eng' ELSE c || '+deu+eng' END AS languages FROM (SELECT doc_id, {LANG_SQL} AS c FROM documents)",
     "B18_embedded": f"SELECT doc_id, coalesce({_VISIBLE.format(x='one')} >= 20, false) OR coalesce({_VISIBLE.format(x='two')} >= 20, false) AS embedded, coalesce({_VISIBLE.format(x='one')} >= 10, false) OR coalesce({_VISIBLE.format(x='two')} >= 10, false) AS embedded_10 FROM {_SHORT}",
+    "B18_embedded_whole": f"SELECT doc_id, coalesce({_VISIBLE.format(x='one')} >= 20, false) OR coalesce({_VISIBLE.format(x='text')} >= 20, false) AS embedded, coalesce({_VISIBLE.format(x='one')} >= 10, false) OR coalesce({_VISIBLE.format(x='text')} >= 10, false) AS embedded_10 FROM (SELECT *, split_part(text, chr(12), 1) AS one FROM documents)",
     "B19_scanned": f"SELECT p_partkey, {_VALID} AND NOT ({_VISIBLE.format(x='substr(p_name, 1, 12)')} >= 20 OR {_VISIBLE.format(x='p_name')} >= 20) AS likely_scanned FROM {_FILE}",
     "B20_enough": f"SELECT doc_id, CASE WHEN {_VISIBLE.format(x='substr(text, 1, 12)')} >= 10 THEN substr(text, 1, 12) END AS kept FROM documents",
     "B21_markers": "SELECT doc_id, regexp_replace('[OCR skipped on page(s) 1-' || doc_id || ']' || chr(10) || ' ' || substr(text, 1, 40) || '[OCR skipped on page(s) 2, 3]', '\\[OCR skipped on page\\(s\\) [0-9, -]+\\]\\s*', '', 'g') AS text FROM documents",

@@ -159,11 +159,27 @@ def b20_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", t.enough_or_null(F.substring("text", 1, 12)).alias("kept"))
 
 
+def b20_enough_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = t.enough_or_null(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(kept).cast("long").alias("chars"), F.sha1(kept).alias("kept_sha1"))
+
+
 def b21_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("[OCR skipped on page(s) 1-"), F.col("doc_id").cast("string"), F.lit("]\n "), F.substring("text", 1, 40), F.lit("[OCR skipped on page(s) 2, 3]"))
     return _docs(spark, sf_dir).select("doc_id", t.strip_ocr_markers(text).alias("text"))
 
 
+def b21_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers before, in the middle of and after the whole text."""
+    half = (F.length("text") / 2).cast("int")
+    text = F.concat(
+        F.lit("[OCR skipped on page(s) 1-"), F.col("doc_id").cast("string"), F.lit("]\n "), F.substring("text", F.lit(1), half),
+        F.lit("[OCR skipped on page(s) 4]"), F.substring("text", half + 1, F.length("text")), F.lit("[OCR skipped on page(s) 2, 3]"),
+    )
+    out = t.strip_ocr_markers(text)
+    return _docs(spark, sf_dir).select("doc_id", F.length(out).cast("long").alias("chars"), F.sha1(out).alias("text_sha1"))
+
+
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as its attachments."""
     k = F.col("l_partkey")
@@ -200,7 +216,7 @@ QUERIES = {
     "B6_document_html": b6_document_html, "B7_content": b7_content, "B8_types": b8_types, "B9_content_html": b9_content_html, "B10_content_text": b10_content_text,
     "B11_body": b11_body, "B12_is_pdf": b12_is_pdf, "B13_version": b13_version, "B14_metadata_lines": b14_metadata_lines, "B15_page_count": b15_page_count,
     "B16_language": b16_language, "B17_widened": b17_widened, "B18_embedded": b18_embedded, "B19_scanned": b19_scanned, "B20_enough": b20_enough,
-    "B18_embedded_whole": b18_embedded_whole,
+    "B18_embedded_whole": b18_embedded_whole, "B20_enough_whole": b20_enough_whole, "B21_markers_whole": b21_markers_whole,
     "B21_markers": b21_markers, "B22_invoice_names": b22_invoice_names, "B23_invoice_content": b23_invoice_content, "B24_has_invoice": b24_has_invoice, "B25_invoice": b25_invoice,
 }
 
@@ -240,6 +256,9 @@ ORACLE = {
     "B18_embedded_whole": f"SELECT doc_id, coalesce({_VISIBLE.format(x='one')} >= 20, false) OR coalesce({_VISIBLE.format(x='text')} >= 20, false) AS embedded, coalesce({_VISIBLE.format(x='one')} >= 10, false) OR coalesce({_VISIBLE.format(x='text')} >= 10, false) AS embedded_10 FROM (SELECT *, split_part(text, chr(12), 1) AS one FROM documents)",
     "B19_scanned": f"SELECT p_partkey, {_VALID} AND NOT ({_VISIBLE.format(x='substr(p_name, 1, 12)')} >= 20 OR {_VISIBLE.format(x='p_name')} >= 20) AS likely_scanned FROM {_FILE}",
     "B20_enough": f"SELECT doc_id, CASE WHEN {_VISIBLE.format(x='substr(text, 1, 12)')} >= 10 THEN substr(text, 1, 12) END AS kept FROM documents",
+    "B20_enough_whole": f"SELECT doc_id, length(kept) AS chars, sha1(kept) AS kept_sha1 FROM (SELECT doc_id, CASE WHEN {_VISIBLE.format(x='text')} >= 10 THEN text END AS kept FROM documents)",
+    "B21_markers_whole": """SELECT doc_id, length(x) AS chars, sha1(x) AS text_sha1 FROM (SELECT doc_id, regexp_replace('[OCR skipped on page(s) 1-' || doc_id || ']' || chr(10) || ' ' || substr(text, 1, length(text) // 2) ||
+        '[OCR skipped on page(s) 4]' || substr(text, length(text) // 2 + 1) || '[OCR skipped on page(s) 2, 3]', '\\[OCR skipped on page\\(s\\) [0-9, -]+\\]\\s*', '', 'g') AS x FROM documents)""",
     "B21_markers": "SELECT doc_id, regexp_replace('[OCR skipped on page(s) 1-' || doc_id || ']' || chr(10) || ' ' || substr(text, 1, 40) || '[OCR skipped on page(s) 2, 3]', '\\[OCR skipped on page\\(s\\) [0-9, -]+\\]\\s*', '', 'g') AS text FROM documents",
     "B22_invoice_names": f"WITH {ATTACHMENTS_SQL} SELECT filename, count(*) AS n, lower(filename) IN ('factur-x.xml', 'zugferd-invoice.xml', 'xrechnung.xml') AS is_invoice FROM att GROUP BY filename",
     "B23_invoice_content": f"WITH {ATTACHMENTS_SQL} SELECT doc, ord, coalesce(contains(content, 'CrossIndustryInvoice'), false) AS looks FROM att",

@@ -1,5 +1,6 @@
 """The text queries see more of a text than its first characters."""
 
+import hashlib
 import re
 
 from foliant.plans import registry
@@ -19,3 +20,21 @@ def visible(text):
 def test_embedded(spark, tmp_path):
     got = rows(spark, tmp_path, "B18_embedded_whole")
     assert {k: (r["embedded"], r["embedded_10"]) for k, r in got.items()} == {k: (visible(x) >= 20, visible(x) >= 10) for k, x in LONG}
+
+
+def test_enough(spark, tmp_path):
+    got = rows(spark, tmp_path, "B20_enough_whole")
+    kept = {k: x if visible(x) >= 10 else None for k, x in LONG}
+    assert {k: (r["chars"], r["kept_sha1"]) for k, r in got.items()} == {k: (None, None) if x is None else (len(x), hashlib.sha1(x.encode()).hexdigest()) for k, x in kept.items()}
+
+
+def test_markers(spark, tmp_path):
+    got = rows(spark, tmp_path, "B21_markers_whole")
+    mark = r"\[OCR skipped on page\(s\) [0-9, -]+\]\s*"
+    for k, x in LONG:
+        if x is None:
+            assert got[k]["chars"] is None
+            continue
+        h = len(x) // 2
+        out = re.sub(mark, "", f"[OCR skipped on page(s) 1-{k}]\n {x[:h]}[OCR skipped on page(s) 4]{x[h:]}[OCR skipped on page(s) 2, 3]")
+        assert (got[k]["chars"], got[k]["text_sha1"]) == (len(out), hashlib.sha1(out.encode()).hexdigest())

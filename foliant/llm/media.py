@@ -93,7 +93,7 @@ def _features(ids: list, media: list[list[bytes]]) -> pa.RecordBatch:
             whole.update(x)
         rows.append((
             i, int(notes[0][3]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), sum(map(len, own)),
-            whole.hexdigest(), len(own), images[0].width, sum(x.height for x in images), difference_hash(shown[0]),
+            whole.hexdigest(), len(own), images[0].width, sum(x.height for x in images), "-".join(map(difference_hash, shown)),
         ))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -120,7 +120,7 @@ def _feature_reader():
 def media_features(media: DataFrame) -> DataFrame:
     """Of each (id, media) row what its stored bytes decode to: dimensions, payload digests, thumbnail hash.
 
-    Raises on media that aren't baseline JPEGs with a comment that ``encode_media`` wrote. Rows without an id
+    The thumbnail hash of several images is one hash an image, joined by hyphens in their order. Raises on media that aren't baseline JPEGs with a comment that ``encode_media`` wrote. Rows without an id
     and repeated rows come out as they are; equal media give equal values.
     """
     ship(media.sparkSession)

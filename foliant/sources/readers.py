@@ -78,7 +78,7 @@ class ToolReader:
 
 
 class PdfToText(ToolReader):
-    """Layout text, or with both strategies the one that scores higher (ties to layout)."""
+    """Layout text, or raw text where ``layout`` is off; one of them, the dual strategy isn't wired in."""
 
     def __init__(self, settings: Settings | None = None):
         super().__init__("pdftotext", ("pdftotext",), settings or Settings())

@@ -171,7 +171,7 @@ def e13_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e14_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each variant of a document as a row: what its option set chooses."""
+    """Counts for each of four variants: what its option set chooses."""
     docs, cands = _documents(spark, sf_dir), spread(_candidates(spark, sf_dir))
     sets = {"default": select.Options(), "ocr": select.Options(force_ocr=True), "quality": select.Options(threshold=80.0)}
     rows = [_told(select.extract_text(docs, cands, "conv_id", options=o)).withColumn("variant", F.lit(n)) for n, o in sets.items()]

@@ -14,18 +14,25 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-__all__ = ["ship", "shared_root", "own_folder", "new_folder", "clear", "stored", "discard", "remove", "width", "ascii_lower", "row_key", "texts_of", "read"]
+__all__ = ["ship", "shared_root", "own_folder", "new_folder", "clear", "stored", "discard", "remove", "width", "ascii_lower", "row_key", "texts_of", "read", "named_column", "free", "only_rows"]
 #: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a temporary folder, and a cluster an error: a folder of one
+    machine would be missing on the others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="foliant-")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else Path(root).absolute().as_uri()
@@ -80,11 +87,42 @@ def ascii_lower(text: Column) -> Column:
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two 64-bit hashes that tell rows apart by id and text; rows that share both are repeats of one row."""
     return [
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k1"),
-        F.xxhash64(F.lit("second"), F.col(text_col), F.col(id_col)).alias("_k2"),
+        F.xxhash64(named_column(id_col), named_column(text_col)).alias("_k1"),
+        F.xxhash64(F.lit("second"), named_column(text_col), named_column(id_col)).alias("_k2"),
     ]
 
 
+def named_column(name: str) -> Column:
+    """The top-level column of just this name, whatever characters it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that stand for a column already."""
+    held, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` where ``kept`` (id, row) has the row's id and the hash of its text; rows that share both stay once.
+
+    The texts are shuffled once: repeats are dropped on the keys that the join has already dealt the rows by.
+    """
+    keys = free(docs.columns, "_id", "_none", "_row")
+
+    def keyed(id_: Column, row: Column) -> list[Column]:
+        return [x.alias(k) for x, k in zip((F.coalesce(id_, F.lit(0).cast("long")), id_.isNull(), row), keys, strict=True)]
+
+    left = docs.select(*map(named_column, docs.columns), *keyed(named_column(id_col).cast("long"), F.xxhash64(named_column(text_col))))
+    both = left.join(kept.select(*keyed(F.col("id"), F.col("row"))), keys, "left_semi").dropDuplicates(keys)
+    return both.select(*map(named_column, docs.columns))
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of each value; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, texts_of
+from .common import named_column, only_rows, ship, stored, texts_of
 from .naming import named
 
 BLOCK_BYTES = 16384
@@ -55,7 +55,7 @@ def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(named_column(id_col).cast("long").alias("id"), F.xxhash64(named_column(text_col)).alias("row"), named_column(text_col).alias("text"))
     cut = rows.mapInArrow(_cutter(block_bytes), "id long, row long, sha string, pos int, blocks int, block binary")
     level, left = 0, cut.withColumn("copies", F.lit(1).cast("long"))
     keys, done = ["block"], []
@@ -105,8 +105,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without exact duplicates: the row ``exact_duplicates`` keeps of each group, once, with all its columns."""
-    columns = docs.columns
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("row").alias("_row"))
-    keyed = docs.withColumn("_row0", F.xxhash64(F.col(text_col)))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row0") == F.col("_row"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates([id_col, "_row0"]).select(*[F.col(f"`{c}`") for c in columns])
+    return only_rows(docs, exact_duplicates(docs, id_col, text_col).where("kept"), id_col, text_col)

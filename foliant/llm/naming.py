@@ -2,12 +2,14 @@
 
 Rows are range-sorted by a hash of the key, then the key itself, then a tie column. The tie column lets
 a key held by a large share of all rows spread over many tasks. Each task ranks its own sorted rows; the
-driver then adds the ranks up over the tasks, from one small row a task (its number of keys, and the
-keys at its two ends), so a key that crosses from task to task keeps one name.
+driver then adds the ranks up over the tasks, from a few small rows a task (its number of keys, and digests
+of the keys at its two ends), so a key that crosses from task to task keeps one name. That ends of one digest
+are one key is checked on the keys themselves, which stay in the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,15 @@ def _changes(batch: pa.RecordBatch, keys: list[str], last: list | None) -> np.nd
     return out
 
 
+def digest(key: list) -> bytes:
+    """SHA-256 of a key's parts, told apart by kind and length."""
+    out = hashlib.sha256()
+    for x in key:
+        raw = b"" if x is None else x if isinstance(x, bytes) else str(x).encode()
+        out.update(f"{type(x).__name__} {len(raw)} ".encode() + raw)
+    return out.digest()
+
+
 def _ranker(keys: list[str], carried: list[str], schema: pa.Schema):
     """Ranks the keys of one sorted task: rows get (_part, _rank); two more rows tell of the task's ends.
 
@@ -68,7 +79,7 @@ def _ranker(keys: list[str], carried: list[str], schema: pa.Schema):
         for at, found in ends.items():
             for h, r, key in found:
                 out = {"_part": pa.array([part]), "_rank": pa.array([r]), "_end": pa.array([at]), "_count": pa.array([rank + 1])}
-                out |= {"_end_hash": pa.array([h])} | {f"_end_{k}": pa.array([x], schema.field(f"_end_{k}").type) for k, x in zip(keys, key, strict=True)}
+                out |= {"_end_hash": pa.array([h]), "_end_digest": pa.array([digest(key)])} | {f"_end_{k}": pa.array([x], schema.field(f"_end_{k}").type) for k, x in zip(keys, key, strict=True)}
                 yield _rows(schema, out, 1)
 
     return run
@@ -84,7 +95,7 @@ def named(rows: DataFrame, keys: list[str], tie: list[str], carried: list[str],
     base = rows.select(F.xxhash64(*keys).alias("_hash"), *dict.fromkeys([*keys, *tie, *carried]))
     types = {f.name: f.dataType for f in base.schema.fields}
     out = T.StructType([T.StructField(c, types[c]) for c in carried])
-    for c, kind in (("_part", T.IntegerType()), ("_rank", T.LongType()), ("_end", T.StringType()), ("_count", T.LongType()), ("_end_hash", T.LongType())):
+    for c, kind in (("_part", T.IntegerType()), ("_rank", T.LongType()), ("_end", T.StringType()), ("_count", T.LongType()), ("_end_hash", T.LongType()), ("_end_digest", T.BinaryType())):
         out.add(c, kind)
     for k in keys:
         out.add(f"_end_{k}", types[k])
@@ -93,9 +104,15 @@ def named(rows: DataFrame, keys: list[str], tie: list[str], carried: list[str],
     ordered = salted.repartitionByRange(width(spark), "_hash", "_tie").sortWithinPartitions("_hash", *keys)
     ranked = stored(ordered.mapInArrow(_ranker(keys, carried, schema), out), label)
 
-    # One or two rows a task; how many is set by the number of tasks, not by the data.
-    ends = ranked.where("_end IS NOT NULL").select("_part", "_rank", "_end", "_count", "_end_hash", *[f"_end_{k}" for k in keys])
-    offset, special = _offsets(ends.collect(), len(keys))
+    # One or two rows a task, of digests: how many and how large they are is set by the number of tasks, not by the data.
+    at_ends = ranked.where("_end IS NOT NULL")
+    small = [F.col(c) for c in ("_part", "_rank", "_end", "_count", "_end_hash")]
+    ends = at_ends.select(*small, F.array("_end_digest").alias("key")).collect()
+    if len(ends) > 1:
+        same = at_ends.groupBy("_end_hash", "_end_digest").agg(*[x.alias(f"{n}_{k}") for k in keys for x, n in ((F.min(f"_end_{k}"), "a"), (F.max(f"_end_{k}"), "b"))])
+        if not same.where(" OR ".join(f"NOT a_{k} <=> b_{k}" for k in keys)).isEmpty():  # two keys of one digest: only the keys tell
+            ends = at_ends.select(*small, F.array(*[F.col(f"_end_{k}").cast("string").cast("binary") for k in keys]).alias("key")).collect()
+    offset, special = _offsets(ends)
     offsets = spark.createDataFrame(sorted(offset.items()) or [(-1, 0)], "_part int, _offset long")
     found = ranked.where("_end IS NULL").join(F.broadcast(offsets), "_part", "left")
     name = F.col("_rank") + F.col("_offset")
@@ -108,12 +125,12 @@ def named(rows: DataFrame, keys: list[str], tie: list[str], carried: list[str],
     return result
 
 
-def _offsets(ends: list, n_keys: int) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+def _offsets(ends: list) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
     """What to add to the ranks of each task, and the names of keys that began in an earlier task."""
     tasks: dict[int, dict] = {}
     for r in ends:
         t = tasks.setdefault(r["_part"], {"count": r["_count"], "first": {}, "last": {}})
-        key = tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r[5:5 + n_keys])
+        key = tuple(None if x is None else bytes(x) for x in r["key"])
         t[r["_end"]][(r["_end_hash"], key)] = r["_rank"]
     offset, special, names, total = {}, {}, {}, 0
     for part in sorted(tasks):

@@ -8,40 +8,42 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. edges: (u, v) with u > v, each once. Nodes are hung on the least neighbour."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step. edges: (u, v) with u > v, each once. Nodes are hung on the least neighbour. Also the table to discard after it."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written first: the join then stands right on two shuffles, and AQE can split a hub's edges.
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:  # neighbours above u move to the least around u
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its neighbours, all below, move to the least of them
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v").distinct(), least
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes of the edges (a, b); component is the least node that can be reached.
 
-    Edges may repeat, run either way or join a node to itself; edges with a null are dropped. Each round
-    shuffles the remaining edges, of which there are never more than at first, and is written to the shared
-    folder. Minima are taken map side first; the joins are on node and are split by AQE where a hub is hot.
+    Edges may repeat, run either way or join a node to itself; edges with a null are dropped. Rounds go on
+    until nothing changes, a number that grows with the logarithm of the nodes. Each shuffles the remaining
+    edges, of which there are never more than at first, and is written to the shared folder. Minima are taken
+    map side first; the joins are on node and are split by AQE where a hub is hot.
     """
     a_, b_ = F.col(a), F.col(b)
     now = stored(edges.where(a_ != b_).select(F.greatest(a_, b_).alias("u"), F.least(a_, b_).alias("v")).distinct(), "edges")
     selves = edges.where(a_ == b_).select(a_.alias("node")).distinct()
     state = None
-    for _ in range(max_rounds):
-        wide = stored(_star(now, True), "large-star")
-        after = stored(_star(wide, False), "small-star")
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(wide, now)
-        now = after
-        if seen == state:
+    while True:
+        wide, least = _star(now, True)
+        wide = stored(wide, "large-star")
+        discard(least, now)
+        now, least = _star(wide, False)
+        now = stored(now, "small-star")
+        discard(least, wide)
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == state or not seen[0]:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = selves.join(now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))), "node", "left_anti")

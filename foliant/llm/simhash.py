@@ -10,6 +10,9 @@ without loss, by pieces of the other bits and then into blocks (see ``fingerprin
 group a search over what is not yet reached finds the links that hold the group together, so a dense
 group of near copies yields about as many links as members, not all its pairs. Every pair of a group is
 compared unless both are joined already.
+
+Where a similarity of the shingles is asked for instead of a number of bits, candidates come from ``minhash``:
+at a Jaccard similarity of 0.8 two fingerprints differ in about ten of 64 bits, which no three segments find.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, texts_of, width
+from .common import discard, named_column, only_rows, ship, stored, texts_of, width
 from .components import components
+from .minhash import similar_documents
 
 SEED = 42
 #: Runs of one variant up to this many fingerprints are compared by shifting; longer ones by search.
@@ -57,8 +61,8 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "row", "fp"])
 
     return run
 
@@ -129,47 +133,85 @@ def _links(differ: int):
     return run
 
 
-def _with_count(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with ``n``: how many share their key, counted in the shuffle that brings them together; lone rows go."""
-    spread = rows.repartition(width(rows.sparkSession), *by)
-    return spread.select("*", F.count("*").over(Window.partitionBy(*by)).alias("n")).where("n > 1")
+def _crowded(rows: DataFrame, by: list[str], over: int) -> DataFrame:
+    """The keys that more than ``over`` rows share. Rows are counted map side first, so a hot key is no hot task."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > over)
 
 
 def fingerprint_links(fps: DataFrame, differ: int = 4, crowded: int = 4096, block: int = 8192) -> DataFrame:
     """Links (a, b) between the distinct longs ``fp`` of a table, enough to join all that differ by ``differ`` bits at most.
 
-    Up to ``crowded`` fingerprints of one variant are a group. Of more, the bits outside the segment are cut into
-    ``differ`` + 1 pieces, of which two that link share one: groups are then of a variant and a piece. What is
-    still over ``block`` there, near copies for the most part, is split into blocks, and pairs of blocks are groups.
+    Fingerprints of one variant are a group. A variant is crowded if over half of ``crowded`` fingerprints share
+    one of its two segments. Of those, the bits outside the segment are cut into ``differ`` + 1 pieces, of which
+    two that link share one: groups are then of a variant and a piece. What is still over ``block`` there, near
+    copies for the most part, is split into blocks, and pairs of blocks are groups: rows there grow with the
+    square of such a group over ``block``.
     """
     fp = F.col("fp")
-    variants, pieces = [], []
-    for start, bits in segments(64, differ):
-        value = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
-        first = len(variants)
+    cut = segments(64, differ)
+    values: list[Column] = []  # of each segment, with its number
+    variants: list[Column] = []
+    firsts, pieces = [], []
+    for number, (start, bits) in enumerate(cut):
+        ones = (1 << bits) - 1
+        value = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit(ones))
+        values.append(value.bitwiseOR(F.lit(number << 40)))
+        firsts.append(len(variants))
         for bit in range(bits):
-            variants.append(value.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << bit))).bitwiseOR(F.lit(len(variants) << 40)))
+            variants.append(value.bitwiseAND(F.lit(ones ^ (1 << bit))).bitwiseOR(F.lit(len(variants) << 40)))
         high = F.shiftrightunsigned(fp, start + bits) if start + bits < 64 else F.lit(0).cast("long")
         rest = F.shiftleft(high, start).bitwiseOR(fp.bitwiseAND(F.lit((1 << start) - 1)))
         cuts = [(64 - bits) * k // (differ + 1) for k in range(differ + 2)]
         own = [F.shiftrightunsigned(rest, i).bitwiseAND(F.lit((1 << (j - i)) - 1)).bitwiseOR(F.lit((k + 1) << 32)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        pieces.append((first, len(variants), F.array(*own)))
+        pieces.append(F.array(*own))
     rows = fps.select("fp", F.explode(F.array(*variants)).alias("key"))
-    met = _with_count(rows, ["key"])
-    none = F.lit(0).cast("long")
-    groups = met.where(F.col("n") <= crowded).select("key", none.alias("piece"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-
-    number = F.shiftrightunsigned("key", 40)
-    of_segment = F.coalesce(*[F.when((number >= lo) & (number < hi), array) for lo, hi, array in pieces])
-    crowd = met.where(F.col("n") > crowded).select("key", "fp", F.explode(of_segment).alias("piece"))
-    crowd = _with_count(crowd, ["key", "piece"])
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    crowd = crowd.select("key", "piece", "fp", mine.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    groups = groups.unionByName(crowd.select("key", "piece", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"))
-    by = ["key", "piece", "i", "j"]
-    ordered = groups.repartition(width(fps.sparkSession), *by).sortWithinPartitions(*by)
-    return ordered.mapInArrow(_links(differ), "a long, b long").distinct()
+    none, by = F.lit(0).cast("long"), ["key", "piece", "i", "j"]
+
+    # A variant holds two values of its segment, so one of them is heavy where it is crowded.
+    heavy = stored(_crowded(fps.select(F.explode(F.array(*values)).alias("value")), ["value"], crowded // 2), "heavy-segments")
+    n_heavy = heavy.count()
+    if n_heavy:
+        number, value = F.shiftrightunsigned("value", 40), F.col("value").bitwiseAND(F.lit((1 << 40) - 1))
+        keys = F.coalesce(*[
+            F.when(number == k, F.array(*[value.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << bit))).bitwiseOR(F.lit((first + bit) << 40)) for bit in range(bits)]))
+            for k, ((_, bits), first) in enumerate(zip(cut, firsts, strict=True))
+        ])
+        busy = stored(heavy.select(F.explode(keys).alias("key")).distinct(), "crowded-variants")
+        small = n_heavy <= 10_000  # a broadcast of 220 000 longs at most; beyond that the join shuffles
+        at = F.shiftrightunsigned("key", 40)
+        of_segment = F.coalesce(*[F.when((at >= first) & (at < first + bits), array) for (_, bits), first, array in zip(cut, firsts, pieces, strict=True)])
+        crowd = rows.join(F.broadcast(busy) if small else busy, "key", "left_semi").select("key", "fp", F.explode(of_segment).alias("piece"))
+        over = stored(_crowded(crowd, ["key", "piece"], block), "crowded-pieces")
+        parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+        crowd = crowd.join(over, ["key", "piece"], "left").withColumn("parts", parts)
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        crowd = crowd.select("key", "piece", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        crowd = crowd.select("key", "piece", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        rows = rows.join(F.broadcast(busy) if small else busy, "key", "left_anti")
+    groups = rows.select("key", none.alias("piece"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    if n_heavy:
+        groups = groups.unionByName(crowd)
+    # Groups are bounded by now, so their rows can be counted in the shuffle that brings them together; lone ones go.
+    met = groups.repartition(width(fps.sparkSession), *by).withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n > 1")
+    return met.sortWithinPartitions(*by).select(*by, "fp").mapInArrow(_links(differ), "a long, b long").distinct()
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int, differ: int, crowded: int, block: int) -> DataFrame:
+    """(id, row, fp, component, component_id) of each row; row: hash of its text, component: the least fingerprint of it."""
+    spark = docs.sparkSession
+    ship(spark)
+    text = named_column(text_col)
+    rows = docs.select(named_column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    found = stored(rows.mapInArrow(_fingerprints(shingle), "id long, row long, fp long"), "fingerprints")
+    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    links = stored(fingerprint_links(distinct.select("fp"), differ, crowded, block), "links")
+    member = components(links).withColumnRenamed("node", "fp")
+    placed = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # Written before they are joined: a join then stands right on two shuffles, and AQE can split a hot key's rows.
+    ids = stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    placed = stored(placed.join(ids, "component").select("fp", "component", "component_id"), "members")
+    discard(distinct, ids)
+    return found.join(placed, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, crowded: int = 4096, block: int = 8192) -> DataFrame:
@@ -178,27 +220,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints link at ``differ`` or fewer differing bits; equal ones always do, those of empty texts (zero)
     too; null counts as empty. Rows without an id keep a null id and join components as any other; a
     component that has only such rows has a null component_id. Repeated rows are listed each. An empty
-    table gives an empty table.
+    table gives an empty table. Very long texts are read whole; other columns, whatever their names, are not.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stored(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"), "fingerprints")
-    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    links = stored(fingerprint_links(distinct.select("fp"), differ, crowded, block), "links")
-    member = components(links).withColumnRenamed("node", "fp")
-    placed = distinct.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    # Written first: the join below then stands right on two shuffles, and AQE can split a hot fingerprint's rows.
-    placed = stored(placed.join(ids, "component").select("fp", "component_id"), "members")
-    return found.join(placed, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _near(docs, id_col, text_col, shingle, differ, crowded, block)
+    return found.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(found: DataFrame) -> DataFrame:
+    """(id, row) of the row that stays of each component: the least id, rows without one last, then the least row."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    return found.groupBy("component").agg(F.min(order).alias("first")).select("first.id", "first.row")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id, with all its columns.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, differ: int = 4, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each component, with all its columns: the one with the least id.
 
-    Rows without an id stay only if no row of their component has one, all of them.
+    Components are those of ``near_duplicates`` or, with a ``similarity``, of documents whose shingles have at
+    least that Jaccard similarity (``minhash.similar_documents``). Rows without an id come last; of rows that
+    share the id, the one with the least text hash stays; rows that repeat both id and text are one document.
     """
-    columns = docs.columns
-    kept = near_duplicates(docs, id_col, text_col).where("id <=> component_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    if similarity is None:
+        found = _near(docs, id_col, text_col, shingle, differ, 4096, 8192)
+    else:
+        found = similar_documents(docs, id_col, text_col, shingle, similarity)
+    return only_rows(docs, first_of_each(found), id_col, text_col)

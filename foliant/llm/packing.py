@@ -3,8 +3,9 @@
 Each scan task tokenises its documents, cuts the long ones, and packs the pieces best-fit in falling
 order of length. Bins that are nearly full, and bins that nothing left could enter, are done; the others
 become items of their own and meet those of other tasks in a tree: in each round the underfull bins of
-several tasks come together and are packed best-fit again, until one task is left or nothing is
-underfull. A task packs a bounded number of items: a round has as many tasks as that needs.
+several tasks come together and are packed best-fit again, until one task holds them all, nothing is
+underfull, or a round has joined fewer than one bin in a thousand. A task packs a bounded number of items: a
+round has as many tasks as that needs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import named_column, ship, stored
 from .tokens import VOCABULARY, as_bytes, encode
 
 CAPACITY = 2048
@@ -123,33 +124,34 @@ def pack(
     vocabulary: str = VOCABULARY,
     full: float = 0.995,
     bound: int = 50_000,
-    max_rounds: int = 8,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all documents.
 
     Null texts count as empty: one piece that holds only the closing id. Rows without an id are packed with
-    a null id, repeated rows each. ``full``: bins filled to this share leave the tree at once. ``bound``: a
-    task packs so many items at a time. An empty table gives an empty table.
+    a null id, repeated rows each; of equal lengths the order is by id, piece and crc. Very long texts are cut
+    into as many pieces as they need. Other columns, whatever their names, are not looked at. ``full``: bins
+    filled to this share leave the tree at once. ``bound``: a task packs so many items at a time. An empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    rows = docs.select(named_column(id_col).cast("long"), named_column(text_col))
     now = stored(rows.mapInArrow(_tokenise_and_pack(capacity, vocabulary, bound), BIN_DDL), "bins-0")
-    done, before = [], None
-    for round_ in range(1, max_rounds + 1):
+    done, round_, tasks, before = [], 0, 0, None
+    while True:
+        round_ += 1
         count, least = now.agg(F.count("*"), F.min("fill")).first()
         # Done: nearly full bins, and bins that not even the least of all bins could enter.
         enough = 0 if count <= 1 else min(int(full * capacity), capacity - least + 1)
         done.append(now.where(F.col("fill") >= enough))
         left = now.where(F.col("fill") < enough)
         n = left.count() if enough else 0
-        groups = -(-n // bound)
-        if n and (before == 1 or round_ == max_rounds):
-            done.append(left)
-        if not n or before == 1 or round_ == max_rounds:
+        if not n or tasks == 1 or before is not None and before - count < max(1, before // 1000):
+            if n:
+                done.append(left)
             break
-        repack = _repack(capacity, round_, 2 * bound)
-        now, before = stored(left.repartition(groups, F.xxhash64("bin", F.lit(round_))).mapInArrow(repack, BIN_DDL), f"bins-{round_}"), groups
+        tasks, before = -(-n // bound), n
+        now = stored(left.repartition(tasks, F.xxhash64("bin", F.lit(round_))).mapInArrow(_repack(capacity, round_, 2 * bound), BIN_DDL), f"bins-{round_}")
     found = done[0]
     for x in done[1:]:
         found = found.unionByName(x)

@@ -121,6 +121,8 @@ class Image:
     interval: int = 0
     comment: bytes = b""
     scan: bytes = b""
+    #: Of the scan that holds the first component: itself alone, or with others in turn.
+    scanned: list[Component] = field(default_factory=list)
 
     @property
     def blocks(self) -> tuple[int, int]:
@@ -135,14 +137,14 @@ class Image:
     @property
     def units(self) -> tuple[int, int]:
         """MCUs across and down."""
-        if len(self.components) == 1:
+        if len(self.scanned) == 1:
             return self.blocks
         hm, vm = self.steps
         return -(-self.width // (8 * hm)), -(-self.height // (8 * vm))
 
 
 def parse(data: bytes) -> Image:
-    """The markers of a baseline JPEG with one scan over all its components."""
+    """The markers of a baseline JPEG up to the scan that holds its first component, the luminance."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG: no start marker")
     out, at = Image(), 2
@@ -180,13 +182,22 @@ def parse(data: bytes) -> Image:
             out.comment = body
         elif marker == 0xDA:
             by_number = {c.number: c for c in out.components}
-            if body[0] != len(out.components):
-                raise ValueError("a scan that holds some components only isn't read")
-            for k in range(body[0]):
-                c = by_number[body[1 + 2 * k]]
-                c.dc, c.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
-            out.scan = data[at:]
-            return out
+            scanned = [by_number[body[1 + 2 * k]] for k in range(body[0])]
+            if out.components and out.components[0] in scanned:
+                for k, c in enumerate(scanned):
+                    c.dc, c.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
+                out.scanned, out.scan = scanned, data[at:]
+                return out
+            at = _after_scan(data, at)
+
+
+def _after_scan(data: bytes, at: int) -> int:
+    """Where the markers go on after a scan's bytes."""
+    while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
+        if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7 and data[at + 1] != 0xFF:
+            return at
+        at += 1 + (data[at + 1] != 0xFF)
+    return len(data)
 
 
 def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +228,13 @@ def _intervals(scan: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _layout(image: Image) -> list[Component]:
     """The components of the blocks of one MCU, in order."""
-    if len(image.components) == 1:
-        return image.components
-    return [c for c in image.components for _ in range(c.h * c.v)]
+    if len(image.scanned) == 1:
+        return image.scanned
+    return [c for c in image.scanned for _ in range(c.h * c.v)]
 
 
 def _signature(image: Image) -> tuple:
-    return tuple((c.h, c.v, image.tables[0, c.dc], image.tables[1, c.ac]) for c in image.components)
+    return tuple((c.h, c.v, image.tables[0, c.dc], image.tables[1, c.ac]) for c in image.scanned)
 
 
 def thumbnails(images: list[Image]) -> list[np.ndarray]:
@@ -246,8 +257,10 @@ def _decoded(images: list[Image]) -> list[np.ndarray]:
     tables = {(kind, k): _lookup(images[0].tables[kind, k]) for c in layout for kind, k in ((0, c.dc), (1, c.ac))}
     parts, starts, units, base = [], [], [], 0
     for image in images:
-        data, at = _intervals(image.scan)
         across, down = image.units
+        if across * down * len(_layout(image)) > 4 * len(image.scan):  # a block takes two bits at least
+            raise ValueError("a JPEG's scan is too short for its size")
+        data, at = _intervals(image.scan)
         n = image.interval or across * down
         want = -(-across * down // n)
         if len(at) < want:
@@ -288,7 +301,7 @@ def _decoded(images: list[Image]) -> list[np.ndarray]:
         flat = own[np.arange(own.shape[1])[None, :] < counts[:, None]] if n > 1 else own[0, : int(counts[0])]
         across, down = image.units
         grid = flat.reshape(down, across, firsts)
-        if len(image.components) > 1:
+        if len(image.scanned) > 1:
             c = image.components[0]
             grid = grid.reshape(down, across, c.v, c.h).transpose(0, 2, 1, 3).reshape(down * c.v, across * c.h)
         else:

@@ -7,16 +7,17 @@ DC-only luminance thumbnails, dimensions and hashes. The reader knows nothing of
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import ship, texts_of
+from .common import named_column, ship, texts_of
 
 #: Bytes of payload in one image; longer payloads are several images.
 IMAGE_BYTES = 32 << 20
@@ -52,9 +53,13 @@ def _encoder():
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, media): each text as an array of baseline JPEGs, one but for very long texts; null counts as empty."""
+    """(id, media): each text as an array of baseline JPEGs, one but for very long texts; null counts as empty.
+
+    Rows without an id and repeated rows come out as they are; other columns, whatever their names, are not
+    looked at. An empty table gives an empty table.
+    """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_encoder(), "id long, media array<binary>")
+    return docs.select(named_column(id_col).cast("long"), named_column(text_col)).mapInArrow(_encoder(), "id long, media array<binary>")
 
 
 def difference_hash(thumbnail: np.ndarray) -> str:
@@ -76,25 +81,46 @@ def difference_hash(thumbnail: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, images int, width int, height int, thumbnail_hash string"
-_SCHEMA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("images", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail_hash", pa.string())])
-
-
-def _features(ids: list, media: list[list[bytes]]) -> pa.RecordBatch:
-    parsed = [[jpeg.parse(x) for x in own] for own in media]
-    thumbnails = iter(jpeg.thumbnails([x for own in parsed for x in own]))
+FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, images int, width int, height int, thumbnail_hash string, error string"
+_SCHEMA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("images", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail_hash", pa.string()), ("error", pa.string())])
+#: "payload <bytes in this image> text <bytes of the text>": the comment of images that hold a text.
+NOTE = re.compile(rb"payload (\d+) text (\d+)")
+#: What reading a file that is no baseline JPEG, or a broken one, may raise.
+BROKEN = (ValueError, KeyError, IndexError, struct.error)
+
+
+def _shown(media: list[list[bytes]]) -> list[list[tuple[jpeg.Image, np.ndarray]] | str]:
+    """The images of each media with their thumbnails, or what is wrong with them."""
+    parsed: list = []
+    for own in media:
+        try:
+            if not own or any(x is None for x in own):
+                raise ValueError("no image")
+            parsed.append([jpeg.parse(x) for x in own])
+        except BROKEN as e:
+            parsed.append(str(e))
+    good = [x for x in parsed if not isinstance(x, str)]
+    try:
+        thumbnails = iter(jpeg.thumbnails([x for own in good for x in own]))
+    except BROKEN as e:
+        return [str(e)] if len(media) == 1 else [_shown([own])[0] for own in media]  # one by one: which is it?
+    return [own if isinstance(own, str) else [(x, next(thumbnails)) for x in own] for own in parsed]
+
+
+def _features(ids: list, media: list[list[bytes] | None]) -> pa.RecordBatch:
     rows = []
-    for i, own, images in zip(ids, media, parsed, strict=True):
-        shown = [next(thumbnails) for _ in images]
-        notes = [x.comment.split() for x in images]
-        payload = b"".join(t.tobytes()[: int(note[1])] for t, note in zip(shown, notes, strict=True))
-        whole = hashlib.sha256()
-        for x in own:
-            whole.update(x)
-        rows.append((
-            i, int(notes[0][3]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), sum(map(len, own)),
-            whole.hexdigest(), len(own), images[0].width, sum(x.height for x in images), "-".join(map(difference_hash, shown)),
-        ))
+    for i, own, images in zip(ids, media, _shown([own or [] for own in media]), strict=True):
+        stored = [None, None] if own is None else [sum(len(x or b"") for x in own), hashlib.sha256(b"".join(x or b"" for x in own)).hexdigest()]
+        if isinstance(images, str):
+            rows.append((i, None, None, None, None, *stored, None if own is None else len(own), None, None, None, None if own is None else images))
+            continue
+        notes = [NOTE.fullmatch(x.comment) for x, _ in images]
+        payload = [None] * 4
+        if all(notes):
+            whole = b"".join(t.tobytes()[: int(note[1])] for (_, t), note in zip(images, notes, strict=True))
+            payload = [int(notes[0][2]), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:])]
+        width, height = max(x.width for x, _ in images), sum(x.height for x, _ in images)
+        rows.append((i, *payload, *stored, len(own), width, height, "-".join(difference_hash(t) for _, t in images), None))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -107,7 +133,7 @@ def _feature_reader():
                 own = column[k].as_py()
                 ids.append(i)
                 media.append(own)
-                size += sum(map(len, own))
+                size += sum(len(x or b"") for x in own or [])
                 if size >= 2 * CHUNK_BYTES:
                     yield _features(ids, media)
                     ids, media, size = [], [], 0
@@ -118,10 +144,13 @@ def _feature_reader():
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Of each (id, media) row what its stored bytes decode to: dimensions, payload digests, thumbnail hash.
+    """Of each (id, media array<binary>) row what its stored bytes decode to: dimensions, payload, thumbnail hash.
 
-    The thumbnail hash of several images is one hash an image, joined by hyphens in their order. Raises on media that aren't baseline JPEGs with a comment that ``encode_media`` wrote. Rows without an id
-    and repeated rows come out as they are; equal media give equal values.
+    Of several images the width is the widest's, the height their sum, and the thumbnail hash one hash an image,
+    joined by hyphens in their order. The payload's columns are null where an image isn't one of
+    ``encode_media``'s. Media that aren't baseline JPEGs have only the columns of their bytes, and in ``error``
+    what is wrong; null media have only an id. Rows without an id and repeated rows come out as they are; equal
+    media give equal values. An empty table gives an empty table.
     """
     ship(media.sparkSession)
     return media.select("id", "media").mapInArrow(_feature_reader(), FEATURES)

@@ -23,7 +23,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def inputs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word bucket, gram buckets) of each word; gram bucket 0 is none."""
+    """(word bucket, gram buckets) of each word; bucket 0 is none of its own."""
     n = len(words)
     size = np.fromiter(map(len, words), np.int64, n) + 2
     wide = np.frombuffer(b"".join(b"\x01" + w.ljust(WORD_BYTES + 1, b"\0") for w in words), np.uint8).reshape(n, WORD_BYTES + 2).astype(np.uint32)
@@ -40,7 +40,7 @@ def inputs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> 15
         own = 1 + h % np.uint32(GRAM_BUCKETS - 1)
         grams.append(np.where(np.arange(h.shape[1])[None, :] + g <= size[:, None], own, 0))
-    return (word % WORD_BUCKETS).astype(np.int32), np.concatenate(grams, axis=1).astype(np.int32)
+    return (1 + word % np.uint32(WORD_BUCKETS - 1)).astype(np.int32), np.concatenate(grams, axis=1).astype(np.int32)
 
 
 def windows_of(n: int) -> list[int]:

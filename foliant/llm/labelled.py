@@ -4,35 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import discard, free, named_column, stored
 
-def remainder(id_col: str | Column, of: int) -> Column:
+
+def remainder(id_col: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; null ids count as remainder -1."""
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)), F.lit(-1)).cast("int")
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(of)), F.lit(-1)).cast("int")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int | None = None) -> tuple[DataFrame, list[int]]:
+    """(pos, label, text) of at most ``per_class`` documents of each class, and the number of labelled rows of class 0 and 1.
+
+    Labels come only from rows whose remainder is not ``held``; of an id with both labels 1 counts. Which
+    documents are taken depends on a hash of their id alone, never on their length: a class ends at ``per_class``
+    documents or, where ``sample_bytes`` is given, with the one whose text passes that many bytes. Rows with a
+    null id, label or text are left out; of a repeated id the least text hash counts. ``pos`` is the place in the
+    sample, from 0, and repeats only where a row of ``docs`` does.
+    """
+    label_id, label_of = named_column(id_col), named_column(label)
+    rows = labels.where(label_id.isNotNull() & label_of.isin(0, 1)).where(remainder(label_id, folds) != held)
+    rows = rows.groupBy(label_id.cast("long").alias("id")).agg(F.max(label_of).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+
+    text, id_ = named_column(text_col), named_column(id_col).cast("long")
+    heads = docs.where(text.isNotNull() & id_.isNotNull()).select(id_.alias("id"), F.struct(F.xxhash64(text).alias("row"), F.octet_length(text).alias("bytes")).alias("head"))
+    heads = stored(heads.join(rows, "id").groupBy("id", "label").agg(F.min("head").alias("head")).select("id", "label", "head.*"), "labelled-heads")
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen: list[tuple[int, int, int, int]] = []
+    for k in (0, 1):
+        size = 0
+        for r in heads.where(F.col("label") == k).orderBy(*order).limit(per_class).collect():  # small rows, per_class at most
+            chosen.append((len(chosen), k, r["id"], r["row"]))
+            size += r["bytes"]
+            if sample_bytes is not None and size > sample_bytes:
+                break
+    discard(heads)
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "pos int, label int, id long, row long"))
+    texts = docs.select(id_.alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).join(picked, ["id", "row"])
+    return texts.select("pos", "label", "text"), [counts.get(0, 0), counts.get(1, 0)]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 50_000) -> tuple[list[tuple[bytes, int]], list[int]]:
-    """At most ``per_class`` (text, label) of each class, and the number of rows of class 0 and 1 they stand for.
+def scored(docs: DataFrame, scorer, carry: list[str], text_col: str) -> tuple[DataFrame, str, str]:
+    """``carry`` columns of every row with the score and the prediction of its whole text, and the names of these two.
 
-    Labels come only from rows whose remainder is not ``held``. Which rows are taken depends on a hash of
-    their id alone; rows with a null id, label or text are left out, and a repeated id counts once. Texts
-    over ``max_chars`` are not sampled either, so that what comes to the driver is bounded: they are scored
-    whole like any other, but not learnt from.
+    ``scorer(names)`` gives the function for mapInArrow, whose batches hold the carried columns and then the
+    text. Names that the rows have already are left to them.
     """
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(remainder(id_col, folds) != held)
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
-    order = [F.xxhash64("_id"), F.col("_id")]
-    # The margin makes up for labelled ids that the documents no longer hold.
-    ids = [rows.where(F.col("_label") == k).orderBy(*order).limit(2 * per_class) for k in (0, 1)]
-    ids = F.broadcast(ids[0].unionByName(ids[1]))  # of a size that per_class sets
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars)
-    found = texts.join(ids, "_id")
-    picked = [found.where(F.col("_label") == k).orderBy(*order, "_text").limit(per_class) for k in (0, 1)]
-    got = picked[0].unionByName(picked[1]).collect()
-    seen, out = set(), []
-    for r in got:
-        if r["_id"] not in seen:
-            seen.add(r["_id"])
-            out.append((r["_text"].encode(), r["_label"]))
-    return out, [counts.get(0, 0), counts.get(1, 0)]
+    score, predicted = free(carry, "_score", "_predicted")
+    fields = docs.select(*map(named_column, carry)).schema.fields
+    # Numbered, since mapInArrow takes names apart at dots.
+    rows = docs.select(*[named_column(c).alias(f"c{k}") for k, c in enumerate(carry)], named_column(text_col).alias("text"))
+    schema = T.StructType([*fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
+    return rows.mapInArrow(scorer([*carry, score, predicted]), schema), score, predicted

@@ -3,8 +3,10 @@
 Labels are of documents, but what makes one toxic may be a single word. So first the shares of toxic and
 clean training documents that hold a word or a character gram give each a cautious log-odds; the network's
 input vectors start from them, and they pick the windows to learn from: of a toxic document those with
-the highest value, of a clean one the highest and some others. A document scores the highest of all its
-windows, calibrated on labelled documents that the network wasn't trained on.
+the highest value, of a clean one the highest and some others. Words that few training documents hold go in
+by their characters alone, and so do others at random, so that the network learns to read words that it hasn't
+met. A document's score comes from the logits of all its windows: the highest, and how many fire of how many,
+weighed on labelled documents that the network wasn't trained on.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bigru as net
-from .common import ship, texts_of
-from .labelled import remainder, sample
+from .common import named_column, ship, texts_of
+from .labelled import remainder, sample, scored
 
 FOLDS, HELD, ACCEPT = 5, 0, 0.5
+#: Training documents that a word must be in to have a vector of its own, and the share of those left out at each step.
+COMMON, DROPPED = 5, 0.3
 #: Distinct words whose projected inputs a worker keeps, and bytes of text that it scores at once.
 CACHE_WORDS, CHUNK_BYTES = 150_000, 2 << 20
 
@@ -57,15 +61,15 @@ class Scorer:
             self.projected = np.concatenate(rows)
         return out
 
-    def raw(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(highest logit, number of windows) of each text, over all its windows."""
+    def logits(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The logit of each window of each text."""
         indexed = self._index([net.words_of(t) for t in texts])
-        lanes, owner = [], []
-        for k, ids in enumerate(indexed):
-            for at in net.windows_of(len(ids)):
-                lanes.append(ids[at : at + net.WINDOW])
-                owner.append(k)
-        best, owner = np.full(len(texts), -np.inf), np.array(owner)
+        lanes, counts = [], []
+        for ids in indexed:
+            starts = net.windows_of(len(ids))
+            lanes += [ids[at : at + net.WINDOW] for at in starts]
+            counts.append(len(starts))
+        out = np.zeros(len(lanes))
         for k in range(0, len(lanes), 4096):
             own = lanes[k : k + 4096]
             index = np.zeros((len(own), net.WINDOW), np.int32)
@@ -75,8 +79,14 @@ class Scorer:
             g = self.projected[index]
             h = 3 * net.HIDDEN
             states = np.concatenate([net.run_gru(g[..., :h], self.p["u_f"], False), net.run_gru(g[..., h:], self.p["u_b"], True)], axis=2)
-            np.maximum.at(best, owner[k : k + 4096], net.pooled_logits(self.p, states, (index > 0).astype(np.float32)))
-        return best, np.bincount(owner, minlength=len(texts))
+            out[k : k + len(own)] = net.pooled_logits(self.p, states, (index > 0).astype(np.float32))
+        return np.split(out, np.cumsum(counts)[:-1])
+
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text, over all its windows: the highest logit, the log of the sum of their probabilities, the log of their number, 1."""
+        own = self.logits(texts)
+        fired = [np.log((1 / (1 + np.exp(-np.clip(x, -30, 30)))).sum() + 0.05) for x in own]
+        return np.array([(x.max(), f, np.log(len(x)), 1.0) for x, f in zip(own, fired, strict=True)]).reshape(-1, 4)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out, at = [], 0
@@ -85,16 +95,11 @@ class Scorer:
             while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
                 size += len(texts[end])
                 end += 1
-            best, n = self.raw(texts[at:end])
-            out.append(1 / (1 + np.exp(-np.clip(_rows(best, n) @ self.calibration, -30, 30))))
+            out.append(1 / (1 + np.exp(-np.clip(self.evidence(texts[at:end]) @ self.calibration, -30, 30))))
             at = end
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _rows(best: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.stack([best, np.log(np.maximum(n, 1)), np.ones(len(best))], axis=1)
-
-
 def _cautious_odds(on: np.ndarray, off: np.ndarray, n_on: int, n_off: int) -> np.ndarray:
     """Log-odds less one standard error, at least 0, at most 4."""
     odds = np.log((on + 0.5) / (n_on + 1)) - np.log((off + 0.5) / (n_off + 1))
@@ -109,7 +114,7 @@ def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int
     rng = np.random.default_rng(11)
     p = net.fresh(rng)
     if not (labels == 1).any() or not (labels == 0).any():  # nothing to tell apart
-        return Scorer(p, np.array([0, 0, 10.0 if (labels == 1).any() else -10.0]))
+        return Scorer(p, np.array([0, 0, 0, 10.0 if (labels == 1).any() else -10.0]))
     words = [net.words_of(t) for t in texts]
     learn = np.arange(len(texts)) % 4 != 3
     vocabulary: dict[bytes, int] = {}
@@ -127,7 +132,11 @@ def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int
     word_odds = _cautious_odds(seen[1][0], seen[0][0], n_on, n_off)
     gram_odds = _cautious_odds(seen[1][1], seen[0][1], n_on, n_off)
     gram_odds[0] = 0
+    # Words of few documents go in by their characters alone: all share one vector.
+    rare = seen[0][0] + seen[1][0] < COMMON
+    word_odds[rare] = 0
     p["word"][:, 0], p["gram"][:, 0] = word_odds, gram_odds
+    word = np.where(rare[word], 0, word)
     value = np.concatenate([np.maximum(word_odds[word[k : k + 50_000]], gram_odds[grams[k : k + 50_000]].max(1)) for k in range(0, len(word), 50_000)])
 
     lanes, y = [], []
@@ -139,9 +148,8 @@ def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int
             picked = [s for s in order[:2] if high[s] >= max(0.5, 0.8 * high[order[0]])]
         else:
             picked = [*order[:1], *rng.choice(len(starts), 2)]
-        for s in picked:
-            lanes.append(ids[k][starts[s] : starts[s] + net.WINDOW])
-            y.append(labels[k])
+        lanes += [ids[k][starts[s] : starts[s] + net.WINDOW] for s in picked]
+        y += [labels[k]] * len(picked)
     y = np.array(y, np.float32)
     adam = net.Adam(p, 0.01)
     epochs = max(epochs, -(-least_steps // max(1, -(-len(lanes) // batch))))
@@ -158,26 +166,28 @@ def train(texts: list[bytes], labels: np.ndarray, counts: list[int], epochs: int
                 n = len(lanes[k])
                 index[:n, b] = 1 + place[pos : pos + n]
                 pos += n
-            adam.step(net.loss_and_gradients(p, index, word[used], grams[used], y[own])[1])
+            by_word = np.where(rng.random(len(used)) < DROPPED, 0, word[used])
+            adam.step(net.loss_and_gradients(p, index, by_word, grams[used], y[own])[1])
+    p["word"][rare] = p["word"][0]
 
-    scorer = Scorer(p, np.zeros(3))
+    scorer = Scorer(p, np.zeros(4))
     rest = np.flatnonzero(~learn)
-    best, n = zip(*(scorer.raw([texts[k] for k in rest[at : at + 200]]) for at in range(0, len(rest), 200)), strict=True)
-    scorer.calibration = _calibrated(_rows(np.concatenate(best), np.concatenate(n)), labels[rest], counts)
+    rows = np.concatenate([scorer.evidence([texts[k] for k in rest[at : at + 200]]) for at in range(0, len(rest), 200)])
+    scorer.calibration = _calibrated(rows, labels[rest], counts)
     scorer._forget()
     return scorer
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, counts: list[int], rounds: int = 50) -> np.ndarray:
     """Logistic regression, weighted to the classes' shares in all labels, held near the identity by a small penalty."""
-    w = np.array([1.0, 0.0, 0.0])
+    w = np.array([0.5, 0.5, 0.0, 0.0])
     prior = w.copy()
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
     weight = weight * len(y) / max(weight.sum(), 1e-9)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (q - y)) + 0.5 * (w - prior)
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(3)
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
         step = np.linalg.solve(h, g)
         w = w - step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -186,38 +196,44 @@ def _calibrated(x: np.ndarray, y: np.ndarray, counts: list[int], rounds: int = 5
 
 
 def _scorer(model: Scorer):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = model.score(texts_of(batch.column(batch.num_columns - 1)))
-            arrays = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_score", "_predicted"])
+    def with_names(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                scores = model.score(texts_of(batch.column(batch.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))], names)
 
-    return run
+        return run
 
+    return with_names
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """A scorer learnt from at most ``per_class`` labelled documents of each class outside the held-out rows."""
-    got, counts = sample(docs, labels, "toxic", FOLDS, HELD, per_class, id_col, text_col)
-    return train([t for t, _ in got], np.array([y for _, y in got], int), counts)
 
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 64 << 20) -> Scorer:
+    """A scorer learnt from at most ``per_class`` labelled documents of each class outside the held-out rows.
 
-def scored(docs: DataFrame, model: Scorer, carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` columns of every row with _score and _predicted of its whole text; null counts as empty, and empty texts are scored as a window without words."""
-    ship(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_text_to_score"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scorer(model), f"{ddl}, _score double, _predicted int")
+    Their whole texts come to the driver, ``sample_bytes`` of each class and the text that passes that at most.
+    """
+    texts, counts = sample(docs, labels, "toxic", FOLDS, HELD, per_class, id_col, text_col, sample_bytes)
+    got = {r["pos"]: r for r in texts.collect()}
+    return train([got[k]["text"].encode() for k in sorted(got)], np.array([got[k]["label"] for k in sorted(got)], int), counts)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1200) -> DataFrame:
-    """id, held_out, score, predicted of each row; rows without an id are scored too and count as not held out."""
-    out = scored(docs, fitted(docs, labels, per_class, id_col, text_col), [id_col], text_col)
-    return out.select(F.col(id_col).alias("id"), (remainder(id_col, FOLDS) == HELD).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    """id, held_out, score, predicted of each row, of all windows of its whole text however long.
+
+    Null texts count as empty, and empty texts are scored as a window without words. Rows without an id are
+    scored too and count as not held out; repeated rows come out each, equal texts with equal scores but for
+    rounding. Other columns, whatever their names, are not looked at. An empty table gives an empty table.
+    """
+    ship(docs.sparkSession)
+    out, score, predicted = scored(docs, _scorer(fitted(docs, labels, per_class, id_col, text_col)), [id_col], text_col)
+    id_ = named_column(id_col)
+    return out.select(id_.alias("id"), (remainder(id_, FOLDS) == HELD).alias("held_out"), F.col(score).alias("score"), F.col(predicted).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents predicted toxic; all columns pass through, nothing is shuffled."""
-    out = scored(docs, fitted(docs, labels, id_col=id_col, text_col=text_col), docs.columns, text_col)
-    return out.where("_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ship(docs.sparkSession)
+    out, _, predicted = scored(docs, _scorer(fitted(docs, labels, id_col=id_col, text_col=text_col)), docs.columns, text_col)
+    return out.where(F.col(predicted) == 0).select(*map(named_column, docs.columns))

@@ -3,7 +3,10 @@
 Texts are cut where no piece can reach across, so what is left are short words. Distinct words of equal
 length are the rows of one matrix and advance together: at each position the hashes of all substrings
 that end there, got from running prefix hashes, probe the sorted hashes of the vocabulary's pieces, and
-maxima over the candidates, taken for all words at once, store backpointers.
+maxima over the candidates, taken for all words at once, store backpointers. A long word is cut into lanes of
+one length that advance together as well: each but the first begins some characters early, in a state of its
+own. Where it has fallen in with the lane before by the time it takes over, its tables are those of the whole
+word; where it hasn't (repetitive words), it is done again from the state that the lane before ends in.
 
 For unigram models a path's score is the sum of its pieces' scores. For merge (BPE) models the sum of
 scores is not what the model means; there a piece may follow another only if merging the two by the
@@ -23,17 +26,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ship
+from .common import named_column, ship
 from .tokens import vocabulary_path
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words longer than this are walked one by one; texts are scored in chunks of so many characters.
-LONG, CHUNK, CACHE = 64, 2_000_000, 300_000
+#: Longest words that make a lane each; characters of a lane of longer ones, and how many earlier it begins, in longest pieces.
+LONG, STEP, EARLY = 64, 256, 8
+#: Texts are scored in chunks of so many characters; words that a coder keeps, and characters of the longest of them.
+CHUNK, CACHE, LONGEST_KEPT = 2_000_000, 300_000, 256
+#: Stands where a lane has no character.
+NONE = 0x110000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -104,11 +110,6 @@ class Coder:
         unknown = np.flatnonzero(model.kinds == UNKNOWN)
         self.unknown = int(unknown[0]) if len(unknown) else 0
         self.longest = max(map(len, self.id_of), default=1)
-        keys = np.array([self._hash(p) for p in self.id_of], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array([*self.id_of.values()], np.int64)[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
-            raise ValueError("two pieces share a hash")
         # What two characters stand side by side in some piece: texts can be cut between any others.
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         # Classes of the characters that pieces hold; 0 is any other.
@@ -118,11 +119,20 @@ class Coder:
         self.joins = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         for a, b in self.joined:
             self.joins[self.class_of[ord(a)], self.class_of[ord(b)]] = True
-        #: By class, the piece that the character alone is, or -1.
-        self.alone = np.array([-1, *(self.id_of.get(chr(c), -1) for c in letters)], np.int64)
+        # Nodes of a path: the pieces, then the characters that some piece holds but that are none by themselves.
+        odd = [chr(c) for c in letters if chr(c) not in self.id_of]
+        self.nodes = [*model.pieces, *odd]
+        node_of = self.id_of | {c: len(model.pieces) + k for k, c in enumerate(odd)}
+        self.node_scores = np.concatenate([model.scores, np.full(len(odd), float(model.scores[keep].min(initial=0)) - 10)])
+        #: By class, the node that the character alone is, or -1.
+        self.alone = np.array([-1, *(node_of[chr(c)] for c in letters)], np.int64)
+        keys = np.array([self._hash(p) for p in node_of], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.key_ids = keys[order], np.array([*node_of.values()], np.int64)[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces share a hash")
         self.score_of = {p: float(model.scores[k]) for p, k in self.id_of.items()}
-        self.floor = float(model.scores[keep].min(initial=0)) - 10
-        self.powers = BASE ** np.arange(max(self.longest, LONG) + 1, dtype=np.uint64)
+        self.powers = BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         self.follows: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         shown = [b"" if k in (UNKNOWN, CONTROL) else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
@@ -160,10 +170,10 @@ class Coder:
 
     def _allowed(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow the one before; -1 before: whether it may begin a word."""
-        both = (before + 1) * len(self.model.pieces) + piece
+        both = (before + 1) * len(self.nodes) + piece
         distinct, back = np.unique(both, return_inverse=True)
         out = np.empty(len(distinct), bool)
-        known, pieces, n = self.follows, self.model.pieces, len(self.model.pieces)
+        known, pieces, n = self.follows, self.nodes, len(self.nodes)
         if len(known) > 2_000_000:
             known.clear()
         for k, key in enumerate(distinct.tolist()):
@@ -176,36 +186,49 @@ class Coder:
 
     # Viterbi
 
-    def _paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of words of one length, given by their characters (words, length): right-aligned ids, and how many."""
+    def _tables(self, codes: np.ndarray, best0: np.ndarray | None = None, last0: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best scores, last nodes and backpointers (length + 1, words) of words of one length, given by their characters (words, length).
+
+        ``best0``, ``last0``: of the first characters, where words go on from a state that is known.
+        """
         m, size = codes.shape
         codes = codes.astype(np.uint64).T + np.uint64(1)
         prefix = np.zeros((size + 1, m), np.uint64)
         for k in range(size):
             prefix[k + 1] = prefix[k] * BASE + codes[k]
-        merge = self.model.type == BPE
+        merge, first = self.model.type == BPE, 1
         best = np.full((size + 1, m), -np.inf)
-        best[0] = 0
         last, back = np.full((size + 1, m), -1, np.int64), np.zeros((size + 1, m), np.int64)
-        for end in range(1, size + 1):
-            lanes, pieces, sizes = [], [], []
+        if best0 is None:
+            best[0] = 0
+        else:
+            first += len(best0)
+            best[1:first], last[1:first] = best0, last0
+        for end in range(first, size + 1):
+            lanes, nodes, sizes = [], [], []
             for n in range(1, min(end, self.longest) + 1):
                 key = prefix[end] - prefix[end - n] * self.powers[n]
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 live = np.flatnonzero((self.keys[at] == key) & (best[end - n] > -np.inf))
                 if len(live):
                     lanes.append(live)
-                    pieces.append(self.key_ids[at[live]])
+                    nodes.append(self.key_ids[at[live]])
                     sizes.append(n)
             if merge and lanes:
                 before = np.concatenate([last[end - n, live] for live, n in zip(lanes, sizes, strict=True)])
-                ok = np.split(self._allowed(before, np.concatenate(pieces)), np.cumsum([*map(len, lanes)])[:-1])
-                lanes, pieces = [x[o] for x, o in zip(lanes, ok, strict=True)], [x[o] for x, o in zip(pieces, ok, strict=True)]
-            for live, piece, n in zip(lanes, pieces, sizes, strict=True):
-                score = np.zeros(len(live)) if merge else best[end - n, live] + self.model.scores[piece]
+                ok = np.split(self._allowed(before, np.concatenate(nodes)), np.cumsum([*map(len, lanes)])[:-1])
+                lanes, nodes = [x[o] for x, o in zip(lanes, ok, strict=True)], [x[o] for x, o in zip(nodes, ok, strict=True)]
+            for live, node, n in zip(lanes, nodes, sizes, strict=True):
+                score = np.zeros(len(live)) if merge else best[end - n, live] + self.node_scores[node]
                 better = score > best[end, live]
-                live, piece = live[better], piece[better]
-                best[end, live], last[end, live], back[end, live] = score[better], piece, end - n
+                live, node = live[better], node[better]
+                best[end, live], last[end, live], back[end, live] = score[better], node, end - n
+        return best, last, back
+
+    def _paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of words of one length: right-aligned, and how many."""
+        m, size = codes.shape
+        best, last, back = self._tables(codes)
         if (best[size] == -np.inf).any():
             raise ValueError("a word has no segmentation")
         # Read back along the backpointers, all words at once.
@@ -218,33 +241,76 @@ class Coder:
             lanes = lanes[at[lanes] > 0]
         return ids, count
 
-    def _path(self, word: str) -> list[int]:
-        """As ``_paths``, for one long word."""
-        size, merge = len(word), self.model.type == BPE
-        best, last, back = [0.0] + [-np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
-        for end in range(1, size + 1):
-            for n in range(1, min(end, self.longest) + 1):
-                piece = self.id_of.get(word[end - n : end])
-                if piece is None or best[end - n] == -np.inf:
-                    continue
-                if merge and not self._allowed(np.array([last[end - n]]), np.array([piece]))[0]:
-                    continue
-                score = 0.0 if merge else best[end - n] + float(self.model.scores[piece])
-                if score > best[end]:
-                    best[end], last[end], back[end] = score, piece, end - n
-        out, at = [], size
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
-
-    def _cut(self, word: str) -> list[str]:
-        """The word cut between characters that stand side by side in no piece."""
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined]
-        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-
-    def _unknown(self, c: str) -> list[int]:
-        return [self.byte_ids[b] for b in c.encode()] if len(self.byte_ids) == 256 else [self.unknown]
+    def _agree(self, best: np.ndarray, last: np.ndarray, best1: np.ndarray, last1: np.ndarray) -> np.ndarray:
+        """Whether two states (positions, lanes) lead on alike: the same nodes and, but for a constant, the same scores."""
+        live, live1 = best > -np.inf, best1 > -np.inf
+        same = ((live == live1) & ((last == last1) | ~live)).all(0) & live.any(0)
+        if self.model.type != BPE:
+            gap = np.where(live & live1, best - np.where(live1, best1, 0), np.nan)
+            same &= np.nan_to_num(np.nanmax(gap, 0, initial=-np.inf) - np.nanmin(gap, 0, initial=np.inf), nan=np.inf) < 1e-6
+        return same
+
+    def _long(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Nodes of long words, given by their characters."""
+        early, keep, step = EARLY * self.longest, self.longest, max(STEP, 2 * self.longest)
+        lanes = [(k, at) for k, w in enumerate(words) for at in range(0, len(w), step)]
+        done = []  # of each lane: the state it begins in, its last nodes and backpointers, and the state it ends in
+        for part in range(0, len(lanes), 2048):
+            own = lanes[part : part + 2048]
+            codes = np.full((len(own), early + step), NONE, np.uint32)
+            for row, (k, at) in zip(codes, own, strict=True):
+                text = words[k][max(0, at - early) : at + step]
+                row[: len(text)] = text
+            tables = self._tables(codes)
+            for j, (_, at) in enumerate(own):
+                lead = min(at, early)
+                best, last, back = (t[:, j] for t in tables)
+                done.append((best[lead - keep + 1 : lead + 1], last[lead - keep + 1 : lead + 1], last[lead + 1 : lead + step + 1], back[lead + 1 : lead + step + 1] - lead, best[lead + step - keep + 1 : lead + step + 1], last[lead + step - keep + 1 : lead + step + 1]))
+        out, known, at_lane = [], {}, 0
+        for word in words:
+            n = -(-len(word) // step)
+            last, back, state = [], [], None
+            for number, (best0, last0, own, steps, best1, last1) in enumerate(done[at_lane : at_lane + n]):
+                if state is not None and not self._agree(*(x[:, None] for x in (*state, best0, last0)))[0]:
+                    start = number * step
+                    text = np.full(keep + step, NONE, np.uint32)
+                    given = word[start - keep : start + step]
+                    text[: len(given)] = given
+                    best = state[0] - state[0].max()
+                    key = (text.tobytes(), state[1].tobytes(), np.round(best, 6).tobytes())
+                    if key not in known:
+                        b, x, y = (t[:, 0] for t in self._tables(text[None], best[:, None], state[1][:, None]))
+                        known[key] = x[keep + 1 :], y[keep + 1 :] - keep, b[step + 1 :], x[step + 1 :]
+                    own, steps, best1, last1 = known[key]
+                last.append(own)
+                back.append(steps + number * step)
+                state = best1, last1
+            at_lane += n
+            last, back, at, nodes = np.concatenate(last).tolist(), np.concatenate(back).tolist(), len(word), []
+            while at:
+                nodes.append(last[at - 1])
+                at = back[at - 1]
+            out.append(np.array(nodes[::-1], np.int64))
+        return out
+
+    def _expanded(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of nodes and how many each has; an unknown character, -1 - its code, is its bytes or the unknown piece."""
+        odd = nodes >= len(self.model.pieces)
+        nodes = nodes.copy()
+        nodes[odd] = [-1 - ord(self.nodes[k]) for k in nodes[odd].tolist()]
+        unknown = np.flatnonzero(nodes < 0)
+        count = np.ones(len(nodes), np.int64)
+        if not len(unknown):
+            return nodes, count
+        if len(self.byte_ids) != 256:
+            nodes[unknown] = self.unknown
+            return nodes, count
+        code = -1 - nodes[unknown]
+        count[unknown] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        out = np.repeat(nodes, count)
+        table = np.array([self.byte_ids[b] for b in range(256)])
+        out[out < 0] = table[np.frombuffer("".join(map(chr, code.tolist())).encode(), np.uint8)]
+        return out, count
 
     def _learn(self, words: list[str]) -> None:
         """Puts the ids of words, as little-endian bytes, into the cache."""
@@ -260,61 +326,37 @@ class Coder:
         lengths = np.diff(np.append(starts, len(text)))
         owner = np.repeat(np.arange(len(words)), sizes)[starts]
         one = self.alone[kind]
-        if len(self.byte_ids) == 256:  # unknown ASCII is one byte piece
-            bytes_ = np.array([self.byte_ids[b] for b in range(128)])
-            ascii_ = (one < 0) & (text < 128)
-            one[ascii_] = bytes_[text[ascii_]]
-        # Words with other unknown characters, or with very long parts, are walked one by one.
-        odd = np.zeros(len(words), bool)
-        odd[np.repeat(np.arange(len(words)), sizes)[one < 0]] = True
-        odd[owner[lengths > LONG]] = True
-        keep = ~odd[owner]
-        starts, lengths, owner = starts[keep], lengths[keep], owner[keep]
-        counts, rows = np.ones(len(starts), np.int64), {}
-        for size in np.unique(lengths).tolist():
+        one = np.where(one < 0, -1 - text.astype(np.int64), one)
+        counts, rows = np.ones(len(starts), np.int64), []
+        for size in np.unique(lengths[lengths <= LONG]).tolist():
             if size == 1:
                 continue
             own = np.flatnonzero(lengths == size)
             for k in range(0, len(own), 20_000):
                 part = own[k : k + 20_000]
                 ids, counts[part] = self._paths(text[starts[part][:, None] + np.arange(size)])
-                rows[size, k] = part, ids
+                rows.append((size, part, ids))
+        long = np.flatnonzero(lengths > LONG)
+        walked = self._long([text[i : i + n] for i, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
+        counts[long] = [*map(len, walked)]
         offset = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()), "<u4")
+        flat = np.zeros(int(counts.sum()), np.int64)
         single = lengths == 1
         flat[offset[single]] = one[starts[single]]
-        for (size, _), (part, ids) in rows.items():
+        for size, part, ids in rows:
             n = counts[part]
             row, column = np.nonzero(np.arange(size)[None, :] >= size - n[:, None])
             flat[(offset[part] + n - size)[row] + column] = ids[row, column]
-        per_word = np.bincount(owner, counts, minlength=len(words)).astype(np.int64)
+        for i, nodes in zip(offset[long].tolist(), walked, strict=True):
+            flat[i : i + len(nodes)] = nodes
+        flat, each = self._expanded(flat)
+        per_word = np.bincount(np.repeat(owner, counts), each, minlength=len(words)).astype(np.int64)
         ends = 4 * np.cumsum(per_word)
-        raw, at = flat.tobytes(), 0
-        for w, end, strange in zip(words, ends.tolist(), odd.tolist(), strict=True):
-            self.cache[w] = np.array(self._walk(w), "<u4").tobytes() if strange else raw[at:end]
+        raw, at = flat.astype("<u4").tobytes(), 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.cache[w] = raw[at:end]
             at = end
 
-    def _walk(self, word: str) -> list[int]:
-        out = []
-        for x in self._cut(word):
-            if len(x) == 1:
-                out += [self.id_of[x]] if x in self.id_of else self._unknown(x)
-            else:
-                out += self._path(x) if all(c in self.id_of for c in x) else self._mixed(x)
-        return out
-
-    def _mixed(self, word: str) -> list[int]:
-        """A word with characters that are no piece by themselves, though some piece holds them."""
-        score = dict(self.score_of)
-        symbols = [*word]
-        while len(symbols) > 1:
-            pairs = [(score.get(a + b, -np.inf), -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
-            best, k = max(pairs)
-            if best == -np.inf:
-                break
-            symbols[-k : 2 - k] = ["".join(symbols[-k : 2 - k])]
-        return [i for s in symbols for i in ([self.id_of[s]] if s in self.id_of else self._unknown(s))]
-
     # Texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -333,6 +375,9 @@ class Coder:
             new.difference_update(self.cache)
             self._learn([*new])
             out += [b"".join(map(self.cache.__getitem__, own)) for own in words]
+            for w in new:
+                if len(w) > LONGEST_KEPT:
+                    del self.cache[w]
         return out
 
     def prepared(self, text: str) -> str:
@@ -369,9 +414,13 @@ def _encoder(name: str):
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
-    """(id, ids array<int>) of each row's whole text; null counts as empty, an empty text has no ids."""
+    """(id, ids array<int>) of each row's whole text, however long; null counts as empty, an empty text has no ids.
+
+    Rows without an id and repeated rows come out as they are; other columns, whatever their names, are not
+    looked at. An empty table gives an empty table.
+    """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_encoder(vocabulary), "id long, ids array<int>")
+    return docs.select(named_column(id_col).cast("long"), named_column(text_col)).mapInArrow(_encoder(vocabulary), "id long, ids array<int>")
 
 
 def _decoder(name: str):

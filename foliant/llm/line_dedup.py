@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, discard, new_folder, remove, row_key, stored, width
+from .common import BLANKS, ascii_lower, discard, free, named_column, new_folder, remove, row_key, stored, width
 
 HASH = ["h1", "h2"]
 
@@ -110,10 +110,11 @@ def drop_common_lines(
 
     A line's key is the line stripped of blanks and lower-cased in A-Z; keys under ``min_chars`` code points
     always stay. Every row counts as a document, repeats and rows without an id too. Null and empty texts
-    have one empty line. An empty table gives an empty table. Columns of any other name pass through.
+    have one empty line; texts are handled whole however long. An empty table gives an empty table. Columns of
+    ``docs`` named n_lines, n_dropped or kept_text are replaced, all others pass through.
     """
     spark, names = docs.sparkSession, docs.columns
-    keys = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
+    keys = docs.select(*row_key(id_col, text_col), named_column(text_col).alias("_text"))
 
     # Runs: one scan counts in how many rows of each batch a line is found, map side first.
     per_row = keys.select(
@@ -139,15 +140,18 @@ def drop_common_lines(
     places = places.select("_k1", "_k2", "_pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     dropped = places.join(common, HASH, "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_places"))
 
-    lines = lines_of(F.col(text_col))
-    every = F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1)
-    stay = F.array_except(every, F.col("_places"))
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at(F.col("_lines"), i + 1)), "\n")
-    out = docs.select(*[F.col(f"`{x}`") for x in names], *row_key(id_col, text_col)).join(dropped, ["_k1", "_k2"], "left")
-    out = out.withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long"))
+    made = ["n_lines", "n_dropped", "kept_text"]
+    k1, k2, places, own = free([*names, *made], "_k1", "_k2", "_places", "_lines")
+    dropped = dropped.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("_places").alias(places))
+    passed = [named_column(x) for x in names if x.lower() not in made]
+    keyed = [c.alias(k) for c, k in zip(row_key(id_col, text_col), (k1, k2), strict=True)]
+    out = docs.select(*map(named_column, names), *keyed).join(dropped, [k1, k2], "left")
+    out = out.select(*passed, F.col(places), F.coalesce(named_column(text_col), F.lit("")).alias(k1), lines_of(named_column(text_col)).alias(own))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(places))
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at(F.col(own), i + 1)), "\n")
     return out.select(
-        *[F.col(f"`{x}`") for x in names if x not in ("n_lines", "n_dropped", "kept_text")],
-        "n_lines",
-        F.coalesce(F.size("_places").cast("long"), F.lit(0).cast("long")).alias("n_dropped"),
-        F.when(F.col("_places").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("kept_text"),
+        *passed,
+        F.size(own).cast("long").alias("n_lines"),
+        F.coalesce(F.size(places).cast("long"), F.lit(0).cast("long")).alias("n_dropped"),
+        F.when(F.col(places).isNull(), F.col(k1)).otherwise(kept).alias("kept_text"),
     )

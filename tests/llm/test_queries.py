@@ -10,7 +10,7 @@ import corpus_pipeline  # noqa: E402
 from foliant.llm import queries  # noqa: E402
 from foliant.llm.packing import best_fit  # noqa: E402
 
-from test_dedup import brute_components, brute_fingerprint  # noqa: E402
+from test_similar import brute_roots, brute_sets  # noqa: E402
 
 
 def normal(t):
@@ -43,7 +43,7 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     before, after = seen[2], seen[3]
     assert set(after) == {max(i for i, t in before.items() if normal(t) == n) for n in {normal(t) for t in before.values()}}
     ids = sorted(after)
-    roots = brute_components([brute_fingerprint(after[i]) for i in ids])
+    roots = brute_roots(brute_sets([(i, after[i]) for i in ids]))
     assert set(seen[4]) == {ids[r] for r in roots}
     packed = at.collect()
     assert {r["doc_id"] for r in packed} == set(seen[4])

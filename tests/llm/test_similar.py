@@ -5,7 +5,8 @@ import pytest
 from helpers import empty, frame, normal, prose, texts
 
 import corpus_pipeline
-from foliant.llm.minhash import drop_similar, similar, similar_documents
+from foliant.llm.minhash import similar, similar_documents
+from foliant.llm.simhash import drop_near_duplicates
 
 
 def brute_sets(rows):
@@ -76,4 +77,4 @@ def test_search_links_as_brute_force():
 
 
 def test_empty_table(spark):
-    assert similar_documents(empty(spark)).count() == 0 and drop_similar(empty(spark)).count() == 0
+    assert similar_documents(empty(spark)).count() == 0 and drop_near_duplicates(empty(spark), shingle=5, similarity=0.8).count() == 0

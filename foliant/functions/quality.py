@@ -1,7 +1,9 @@
 """Text-quality scoring as Column expressions: five weighted scores of 0 to 100, page scores, best of several.
 
-No Python runs per row. Each raw count is a column of its own, so that it is computed once. Broken words
-are looked for only in texts that hold what the word's matches always hold, a plain substring search.
+No Python runs per row. Each raw count is a column of its own, so that it is computed once. Blanks are
+collapsed once for all that counts tokens; listed words are counted by one pattern that shares the words'
+beginnings, so no token becomes a value of its own. Broken words are looked for only in texts that hold what
+the word's matches always hold, a plain substring search.
 """
 
 from __future__ import annotations
@@ -23,9 +25,19 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
-def token_count(text: Column) -> Column:
+def flattened(text: Column) -> Column:
+    """Each run of ASCII blanks as one space."""
+    return F.regexp_replace(text, r"\s+", " ")
+
+
+def _visible(flat: Column) -> Column:
+    return F.length(F.replace(flat, F.lit(" "), F.lit("")))
+
+
+def token_count(text: Column, flat: Column | None = None) -> Column:
     """Tokens between ASCII blanks; empty edges count."""
-    return F.regexp_count(text, F.lit(r"\s+")) + 1
+    flat = flattened(text) if flat is None else flat
+    return F.length(flat) - _visible(flat) + 1
 
 
 def normalised(text: Column) -> Column:
@@ -41,33 +53,58 @@ def missing_score(text: Column, norm: Column | None = None, low: Column | None =
     known = F.lit(0.0)
     for pattern, literal in BROKEN_WORDS:
         n = _count(t, f"(?i){pattern}")
-        known = known + (F.when(low.contains(literal), n).otherwise(0.0) if literal else n)
+        known = known + _count_where(low, literal, n)
     rate = (2 * single + 3 * known) / F.greatest(F.lit(1.0), F.length(t) / 1000)
     return _clamp(100 - 15 * rate)
 
 
-BOTH_WORDS = [*dict.fromkeys(GERMAN_WORDS + ENGLISH_WORDS)]
+def one_of(words: list[str]) -> str:
+    """A pattern for any of the words, which branches letter by letter."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            below.setdefault(w[0], []).append(w[1:])
+    found = "|".join(c + one_of(rest) for c, rest in below.items())
+    return (f"(?:{found})" + ("?+" if "" in words else "")) if found else ""
+
 
+def hits(text: Column, words: list[str], flat: Column | None = None) -> Column:
+    """How many tokens, cleaned of all but letters, the list holds."""
+    flat = flattened(text) if flat is None else flat
+    clean = F.concat(F.lit(" "), F.regexp_replace(F.lower(flat), r"[^\p{L} ]+", ""))
+    return F.regexp_count(clean, F.lit(f" {one_of(words)}(?= |$)"))
 
-def hits(text: Column) -> Column:
-    """The tokens, cleaned of all but letters, that either list holds."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", ""), r"\s+", -1)
-    return F.filter(words, lambda w: w.isin(BOTH_WORDS))
 
+SHARED_WORDS = [w for w in dict.fromkeys(GERMAN_WORDS) if w in ENGLISH_WORDS]
 
-def word_score(text: Column, language: Column, found: Column | None = None) -> Column:
+
+def word_score(text: Column, language: Column, german: Column | None = None, english: Column | None = None, flat: Column | None = None) -> Column:
     """Share of tokens in the language's list, over 500 tokens at most, ten times over."""
-    found = hits(text) if found is None else found
+    flat = flattened(text) if flat is None else flat
+    german = hits(text, GERMAN_WORDS, flat) if german is None else german
+    english = hits(text, ENGLISH_WORDS, flat) if english is None else english
+    both = german + english - hits(text, SHARED_WORDS, flat) if SHARED_WORDS else german + english
     deu, eng = language.contains("deu"), language.contains("eng")
-    german, english = (F.size(F.filter(found, lambda w: w.isin(x))) for x in (GERMAN_WORDS, ENGLISH_WORDS))
-    n = F.when(deu & ~eng, german).when(eng & ~deu, english).otherwise(F.size(found))
-    return F.least(F.lit(100.0), n / F.least(token_count(text), F.lit(500)) * 1000)
+    n = F.when(deu & ~eng, german).when(eng & ~deu, english).otherwise(both)
+    return F.least(F.lit(100.0), n / F.least(token_count(text, flat), F.lit(500)) * 1000)
+
+
+def _count_where(low: Column, literal: str, n: Column) -> Column:
+    """The count where the text holds what every match does; else the pattern needn't run."""
+    return F.when(low.contains(literal), n).otherwise(0.0) if literal else n
+
+
+def _literal(pattern: str) -> str:
+    """The letters that every match of a pattern like ``[a-z]fl[a-z]`` or ``ae`` holds; none of others."""
+    body = pattern.removeprefix("(?i)").removeprefix("[a-z]").removesuffix("[a-z]")
+    return body if body.isalpha() else ""
 
 
-def wrong_umlauts(text: Column) -> Column:
-    wrong = F.lit(0.0)
+def wrong_umlauts(text: Column, low: Column | None = None) -> Column:
+    low, wrong = F.lower(text) if low is None else low, F.lit(0.0)
     for pattern, follower in WRONG_UMLAUTS:
-        wrong = wrong + _count(text, f"(?i){pattern}(?!{follower})" if follower else f"(?i){pattern}")
+        n = _count(text, f"(?i){pattern}(?!{follower})" if follower else f"(?i){pattern}")
+        wrong = wrong + _count_where(low, _literal(pattern), n)
     return wrong
 
 
@@ -78,14 +115,16 @@ def umlaut_score(text: Column, language: Column, wrong: Column | None = None, um
     return _clamp(F.when(language.contains("deu"), german).otherwise(80 - 2 * wrong))
 
 
-def clean_score(text: Column) -> Column:
-    errors = sum((_count(text, p) for p in ERROR_PATTERNS), F.lit(0.0))
+def clean_score(text: Column, low: Column | None = None) -> Column:
+    low = F.lower(text) if low is None else low
+    errors = sum((_count_where(low, _literal(p), _count(text, p)) for p in ERROR_PATTERNS), F.lit(0.0))
     return F.when(F.length(text) == 0, 0.0).otherwise(_clamp(100 - errors / (F.length(text) / 100) * 10))
 
 
-def length_score(text: Column) -> Column:
-    n = token_count(text)
-    mean = F.length(F.regexp_replace(text, r"\s+", "")) / n
+def length_score(text: Column, flat: Column | None = None) -> Column:
+    flat = flattened(text) if flat is None else flat
+    n = token_count(text, flat)
+    mean = _visible(flat) / n
     return F.when(n < 10, 50.0).when(mean.between(4, 8), 100.0).when(mean.between(3, 10), 80.0).when(mean.between(2, 12), 60.0).otherwise(40.0)
 
 
@@ -96,21 +135,23 @@ PARTS: dict[str, Callable] = {
     "length_score": lambda t, _: length_score(t),
     "missing_score": lambda t, _: missing_score(t),
 }
-MEASURES = ["_norm", "_low", "_hits", "_wrong", "_umlauts", "_clean_score", "_length_score", "_missing_score"]
+MEASURES = ["_flat", "_norm", "_low", "_german", "_english", "_wrong", "_umlauts", "_clean_score", "_length_score", "_missing_score"]
 
 
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """What scoring a text needs that doesn't depend on the language, each computed once a text."""
     t = F.col(text)
-    out = df.withColumns({"_norm": normalised(t), "_hits": hits(t), "_wrong": wrong_umlauts(t), "_umlauts": _count(t, UMLAUTS), "_clean_score": clean_score(t), "_length_score": length_score(t)})
-    out = out.withColumn("_low", F.lower("_norm"))
+    out = df.withColumns({"_flat": flattened(t), "_norm": normalised(t), "_low": F.lower(t), "_umlauts": _count(t, UMLAUTS)})
+    flat, low = F.col("_flat"), F.col("_low")
+    out = out.withColumns({"_wrong": wrong_umlauts(t, low), "_clean_score": clean_score(t, low)})
+    out = out.withColumns({"_low": F.lower("_norm"), "_german": hits(t, GERMAN_WORDS, flat), "_english": hits(t, ENGLISH_WORDS, flat), "_length_score": length_score(t, flat)})
     return out.withColumn("_missing_score", missing_score(t, F.col("_norm"), F.col("_low"))).drop("_norm", "_low")
 
 
 def scored(measured: DataFrame, text: str, language: Column, into: str = "score", parts: bool = False) -> DataFrame:
     """The score of texts with measures, in a language for each row."""
     t = F.col(text)
-    out = measured.withColumns({"_word_score": word_score(t, language, F.col("_hits")), "_umlaut_score": umlaut_score(t, language, F.col("_wrong"), F.col("_umlauts"))})
+    out = measured.withColumns({"_word_score": word_score(t, language, F.col("_german"), F.col("_english"), F.col("_flat")), "_umlaut_score": umlaut_score(t, language, F.col("_wrong"), F.col("_umlauts"))})
     total = sum((F.col(f"_{k}") * w for k, w in zip(PARTS, WEIGHTS, strict=True)), F.lit(0.0))
     blank = t.isNull() | php_trim(t).isin("", "0")
     score = F.when(blank, 0.0).when(F.col("_missing_score") < SEVERE, F.col("_missing_score")).otherwise(total)

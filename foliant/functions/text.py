@@ -176,8 +176,11 @@ def parse_metadata(output: Column) -> Column:
     line = r"^([^:\n]+):[ \t\r\f\x0b]*(.*)$"
     found = F.filter(F.split(output, "\n", -1), lambda x: x.rlike(line))
     pairs = F.transform(found, lambda x: F.struct(php_trim(F.regexp_extract(x, line, 1)).alias("key"), php_trim(F.regexp_extract(x, line, 2)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    keys = F.transform(pairs, lambda p: p["key"])
+    # The last of equal keys stands first in the reversed array, where each distinct key is looked up once.
+    newest = F.reverse(pairs)
+    places = F.reverse(keys)
+    return F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.element_at(newest, F.array_position(places, k).cast("int"))["value"]))
 
 
 def page_count(metadata: Column) -> Column:

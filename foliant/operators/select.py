@@ -80,10 +80,11 @@ def extract_text(documents: DataFrame, candidates: DataFrame, key: str, embedded
     both = base
     for name, found in (("preferred", preferred_reader(candidates, key, options.preferred)), ("by_text", text_waterfall(candidates, key)), ("by_ocr", ocr_waterfall(candidates, key, options))):
         both = both.join(found.withColumnRenamed("result", name), key, "left")
-    both = with_quality(both.withColumn("_t", F.col("by_text.text")).withColumn("_o", F.col("by_ocr.text")), "_t", options.language, "_t_score")
-    both = with_quality(both, "_o", options.language, "_o_score")
-    better = F.lit(options.quality_check) & F.col("by_text").isNotNull() & (F.col("_t_score") < options.threshold) & F.col("by_ocr").isNotNull() & (F.col("_o_score") > F.col("_t_score"))
     embedded_way = F.col("_embedded") & F.lit(not options.force_ocr)
+    better = F.lit(False)
+    if options.quality_check and not options.force_ocr:  # what recognition offers has its score from its waterfall
+        both = with_quality(both.withColumn("_t", F.when(embedded_way & F.col("preferred").isNull() & F.col("by_ocr").isNotNull(), F.col("by_text.text"))), "_t", options.language, "_t_score")
+        better = F.col("by_text").isNotNull() & (F.col("_t_score") < options.threshold) & F.col("by_ocr").isNotNull() & (F.col("by_ocr.score") > F.col("_t_score"))
     chosen = F.when(F.col("preferred").isNotNull(), F.col("preferred")).when(embedded_way, F.when(better, F.col("by_ocr")).otherwise(F.col("by_text"))).otherwise(F.col("by_ocr"))
     return _unpacked(both, key, chosen)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry, quality, selection, text
+from . import geometry, pages, quality, selection, text
 
-MODULES = [quality, geometry, text, selection]
+MODULES = [quality, geometry, text, selection, pages]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

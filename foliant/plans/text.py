@@ -138,11 +138,6 @@ def b17_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", t.widened_language(F.lit("deu+eng"), t.language_code(F.col("lang"))).alias("languages"))
 
 
-def b18_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = F.substring("text", 1, 15), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30))
-    return _docs(spark, sf_dir).select("doc_id", t.embedded_text(one, two, F.lit(None).cast("string")).alias("embedded"), t.embedded_text(one, two, F.lit(None).cast("string"), 10).alias("embedded_10"))
-
-
 def b18_embedded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's first page (up to the form feed), then its whole text; the tables hold no second extractor's text."""
     one, none = F.substring_index("text", "\f", 1), F.lit(None).cast("string")
@@ -151,24 +146,15 @@ def b18_embedded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b19_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, content = _file()
-    embedded = t.embedded_text(F.substring("p_name", 1, 12), F.lit(None).cast("string"), F.col("p_name"))
+    embedded = t.embedded_text(F.substring_index("p_name", " ", 1), F.lit(None).cast("string"), F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", (t.is_pdf(path, content) & ~embedded).alias("likely_scanned"))
 
 
-def b20_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", t.enough_or_null(F.substring("text", 1, 12)).alias("kept"))
-
-
 def b20_enough_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = t.enough_or_null(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.length(kept).cast("long").alias("chars"), F.sha1(kept).alias("kept_sha1"))
 
 
-def b21_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("[OCR skipped on page(s) 1-"), F.col("doc_id").cast("string"), F.lit("]\n "), F.substring("text", 1, 40), F.lit("[OCR skipped on page(s) 2, 3]"))
-    return _docs(spark, sf_dir).select("doc_id", t.strip_ocr_markers(text).alias("text"))
-
-
 def b21_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers before, in the middle of and after the whole text."""
     half = (F.length("text") / 2).cast("int")
@@ -215,9 +201,9 @@ QUERIES = {
     "B1_predicates": b1_predicates, "B2_measures": b2_measures, "B3_metadata": b3_metadata, "B4_alternatives": b4_alternatives, "B5_longest": b5_longest,
     "B6_document_html": b6_document_html, "B7_content": b7_content, "B8_types": b8_types, "B9_content_html": b9_content_html, "B10_content_text": b10_content_text,
     "B11_body": b11_body, "B12_is_pdf": b12_is_pdf, "B13_version": b13_version, "B14_metadata_lines": b14_metadata_lines, "B15_page_count": b15_page_count,
-    "B16_language": b16_language, "B17_widened": b17_widened, "B18_embedded": b18_embedded, "B19_scanned": b19_scanned, "B20_enough": b20_enough,
+    "B16_language": b16_language, "B17_widened": b17_widened, "B19_scanned": b19_scanned, 
     "B18_embedded_whole": b18_embedded_whole, "B20_enough_whole": b20_enough_whole, "B21_markers_whole": b21_markers_whole,
-    "B21_markers": b21_markers, "B22_invoice_names": b22_invoice_names, "B23_invoice_content": b23_invoice_content, "B24_has_invoice": b24_has_invoice, "B25_invoice": b25_invoice,
+    "B22_invoice_names": b22_invoice_names, "B23_invoice_content": b23_invoice_content, "B24_has_invoice": b24_has_invoice, "B25_invoice": b25_invoice,
 }
 
 _CODES = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in LANGUAGE_CODES.items())
@@ -229,7 +215,6 @@ _PAGE = f"""'<!DOCTYPE html><html><head><title>' || {_NAME} || '</title><meta na
     CASE WHEN doc_id % 3 = 0 THEN '' ELSE '<meta name="pdf-reader" content="pdftotext">' END || '<style>body {{ font-size: 12pt; }}</style></head><body>' ||
     CASE WHEN doc_id % 2 = 0 THEN '<div class="scanned-notice">Recognised text; it may hold errors.</div>' ELSE '' END || coalesce('<pre>' || {ESCAPE_SQL.format(x="text")} || '</pre>', '<p>No text.</p>') || '</body></html>'"""
 _CONTENT = f"CASE WHEN doc_id % 2 = 0 THEN text ELSE '<!DOCTYPE html><html><head><title>' || {ESCAPE_SQL.format(x='source')} || '</title></head><body><pre>' || {ESCAPE_SQL.format(x='text')} || '</pre></body></html>' END"
-_SHORT = "(SELECT doc_id, substr(text, 1, 15) AS one, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) END AS two FROM documents)"
 
 ORACLE = {
     "B1_predicates": f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(10) || chr(9) WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text FROM documents) SELECT doc_id, coalesce({BLANK_SQL}, false) AS has_text, CASE WHEN coalesce({BLANK_SQL}, false) THEN length(text) ELSE 4 END AS chars FROM d",
@@ -252,14 +237,11 @@ ORACLE = {
     "B15_page_count": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey % 9 END AS pages, nullif(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_partkey % 9 END, 0) AS pages_or_null FROM part",
     "B16_language": f"WITH c(k, v) AS (VALUES {_CODES}), d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN lang || '-XX' WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) ELSE lang END AS g FROM documents) SELECT doc_id, v AS code FROM d LEFT JOIN c ON k = lower(trim(g))",
     "B17_widened": f"SELECT doc_id, CASE WHEN c IN ('deu', 'eng') THEN 'deu+eng' ELSE c || '+deu+eng' END AS languages FROM (SELECT doc_id, {LANG_SQL} AS c FROM documents)",
-    "B18_embedded": f"SELECT doc_id, coalesce({_VISIBLE.format(x='one')} >= 20, false) OR coalesce({_VISIBLE.format(x='two')} >= 20, false) AS embedded, coalesce({_VISIBLE.format(x='one')} >= 10, false) OR coalesce({_VISIBLE.format(x='two')} >= 10, false) AS embedded_10 FROM {_SHORT}",
     "B18_embedded_whole": f"SELECT doc_id, coalesce({_VISIBLE.format(x='one')} >= 20, false) OR coalesce({_VISIBLE.format(x='text')} >= 20, false) AS embedded, coalesce({_VISIBLE.format(x='one')} >= 10, false) OR coalesce({_VISIBLE.format(x='text')} >= 10, false) AS embedded_10 FROM (SELECT *, split_part(text, chr(12), 1) AS one FROM documents)",
-    "B19_scanned": f"SELECT p_partkey, {_VALID} AND NOT ({_VISIBLE.format(x='substr(p_name, 1, 12)')} >= 20 OR {_VISIBLE.format(x='p_name')} >= 20) AS likely_scanned FROM {_FILE}",
-    "B20_enough": f"SELECT doc_id, CASE WHEN {_VISIBLE.format(x='substr(text, 1, 12)')} >= 10 THEN substr(text, 1, 12) END AS kept FROM documents",
+    "B19_scanned": f"SELECT p_partkey, {_VALID} AND NOT ({_VISIBLE.format(x="split_part(p_name, ' ', 1)")} >= 20 OR {_VISIBLE.format(x='p_name')} >= 20) AS likely_scanned FROM {_FILE}",
     "B20_enough_whole": f"SELECT doc_id, length(kept) AS chars, sha1(kept) AS kept_sha1 FROM (SELECT doc_id, CASE WHEN {_VISIBLE.format(x='text')} >= 10 THEN text END AS kept FROM documents)",
     "B21_markers_whole": """SELECT doc_id, length(x) AS chars, sha1(x) AS text_sha1 FROM (SELECT doc_id, regexp_replace('[OCR skipped on page(s) 1-' || doc_id || ']' || chr(10) || ' ' || substr(text, 1, length(text) // 2) ||
         '[OCR skipped on page(s) 4]' || substr(text, length(text) // 2 + 1) || '[OCR skipped on page(s) 2, 3]', '\\[OCR skipped on page\\(s\\) [0-9, -]+\\]\\s*', '', 'g') AS x FROM documents)""",
-    "B21_markers": "SELECT doc_id, regexp_replace('[OCR skipped on page(s) 1-' || doc_id || ']' || chr(10) || ' ' || substr(text, 1, 40) || '[OCR skipped on page(s) 2, 3]', '\\[OCR skipped on page\\(s\\) [0-9, -]+\\]\\s*', '', 'g') AS text FROM documents",
     "B22_invoice_names": f"WITH {ATTACHMENTS_SQL} SELECT filename, count(*) AS n, lower(filename) IN ('factur-x.xml', 'zugferd-invoice.xml', 'xrechnung.xml') AS is_invoice FROM att GROUP BY filename",
     "B23_invoice_content": f"WITH {ATTACHMENTS_SQL} SELECT doc, ord, coalesce(contains(content, 'CrossIndustryInvoice'), false) AS looks FROM att",
     "B24_has_invoice": f"WITH {ATTACHMENTS_SQL} SELECT doc, bool_or(lower(filename) IN ('factur-x.xml', 'zugferd-invoice.xml', 'xrechnung.xml')) AS is_invoice FROM att GROUP BY doc",

@@ -54,5 +54,15 @@ def row_aligned_text(docs: DataFrame, key: str, xml: str, tolerance: float = Y_T
     return docs.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
+def ocr_row_aligned_text(pages: DataFrame, key: str, page: str, tsv: str, tolerance: float = Y_TOLERANCE_PIXELS) -> DataFrame:
+    """(key, text) of recognition TSV, a row a page: rows by page, pages that have words joined by line feeds; else an empty text."""
+    by = [key, page]
+    words = words_of_tsv(pages.select(F.struct(*by).alias("_p"), tsv), "_p", tsv).select("_p.*", "seq", "x", "y", "t")
+    each = text_of_rows(rows_of_words(words, by, tolerance), by)
+    every = F.array_sort(F.collect_list(F.struct(page, "text")))
+    texts = each.groupBy(key).agg(F.array_join(F.transform(every, lambda p: p["text"]), "\n").alias("text"))
+    return pages.select(key).distinct().join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
 def bbox_line(x: Column, y: Column, t: Column) -> Column:
     return F.format_string('<word xMin="%s" yMin="%s" xMax="0" yMax="0">%s</word>', x.cast("string"), y.cast("string"), t)

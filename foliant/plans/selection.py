@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as q
 from ..functions.text import blank_to_null
 from ..operators import cache, layout, pages, select
+from ..operators.provider import TextProvider
 from ..sources import registry as reg
 from ..sources.writers import attachment_name, wkhtmltopdf_command
 from .common import PHP_TRIM_SQL, quoted, r6, spread, table
@@ -59,6 +60,16 @@ def d4_row_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.row_aligned_text(_bbox(spark, sf_dir), "l_orderkey", "xml").withColumn("text", F.replace("text", F.lit("\n"), F.lit("/")))
 
 
+def d5_ocr_row_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as recognition TSV on two pages: lines with odd and with even part keys."""
+    k = F.col("l_partkey")
+    fields = [F.lit("5")] * 6 + [(k % 900).cast("string"), (F.col("l_quantity").cast("int") * 4).cast("string")] + [F.lit("1")] * 3
+    line = F.concat_ws("\t", *fields, k.cast("string"))
+    rows = _lines(spark, sf_dir).groupBy("l_orderkey", (k % 2).alias("page")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("w")))).alias("r"))
+    pages = rows.select("l_orderkey", "page", F.concat(F.lit("level\n"), F.array_join(F.transform("r", lambda x: x["w"]), "\n")).alias("tsv"))
+    return layout.ocr_row_aligned_text(pages, "l_orderkey", "page", "tsv").withColumn("text", F.replace("text", F.lit("\n"), F.lit("/")))
+
+
 # E: candidates from conversations
 
 READER_SQL = "['pdftotext', 'pdfbox', 'tesseract', 'ocrmypdf'][(turn % 4 + 1)::INT]"
@@ -182,6 +193,20 @@ def e14_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("variant").agg(F.count("*").alias("n"), F.count("text_sha1").alias("with_text"), F.sum(F.col("is_scanned").cast("long")).alias("scanned"))
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as words, two in a line."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    return turns.select("conv_id", F.lit(0).alias("page"), F.col("turn").alias("seq"), (F.col("turn") % 3).cast("double").alias("x"), (F.floor(F.col("turn") / 2) * 10).cast("double").alias("y"), F.concat(F.lit("w"), F.col("turn").cast("string")).alias("t"))
+
+
+def e14_all_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the eight variants of a document as a row."""
+    mode = F.when(F.col("reader") == "pdftotext", F.when(F.col("turn") % 8 == 0, "layout").otherwise("raw"))
+    boxes = _boxes(spark, sf_dir)
+    provider = TextProvider(_documents(spark, sf_dir), spread(_candidates(spark, sf_dir)).withColumn("mode", mode), "conv_id", words=boxes, ocr_words=boxes)
+    return provider.variants().select("conv_id", "variant", "reader", "is_scanned", F.sha1("text").alias("text_sha1"))
+
+
 def e15_by_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = _candidates(spark, sf_dir).where(F.col("reader") == "tesseract").groupBy("conv_id").agg(F.min_by("text", "priority").alias("t"))
     return _documents(spark, sf_dir).join(only, "conv_id", "left").select("conv_id", F.sha1(blank_to_null(F.col("t"))).alias("text_sha1"))
@@ -320,11 +345,11 @@ def o4_invoice_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "D1_bbox_words": d1_bbox_words, "D2_tsv_words": d2_tsv_words, "D3_rows": d3_rows, "D4_row_aligned": d4_row_aligned,
+    "D1_bbox_words": d1_bbox_words, "D2_tsv_words": d2_tsv_words, "D3_rows": d3_rows, "D4_row_aligned": d4_row_aligned, "D5_ocr_row_aligned": d5_ocr_row_aligned,
     "E1_extract_text": _extract(), "E2_text_waterfall": e2_text_waterfall, "E3_ocr_waterfall": e3_ocr_waterfall, "E4_selective": e4_selective,
     "E5_preferred": e5_preferred, "E6_text_only": e6_text_only, "E7_all": e7_all, "E8_settings": e8_settings, "E9_dual": e9_dual,
     "E10_tesseract_cascade": _cascade(TESSERACT), "E11_language": e11_language, "E12_ocrmypdf_cascade": _cascade(OCRMYPDF), "E13_first_text": e13_first_text,
-    "E14_variants": e14_variants, "E15_by_reader": e15_by_reader, "E16_provider": e16_provider, "E17_seed": e17_seed,
+    "E14_variants": e14_variants, "E14_all_variants": e14_all_variants, "E15_by_reader": e15_by_reader, "E16_provider": e16_provider, "E17_seed": e17_seed,
     "F1_option_key": f1_option_key, "F2_provider_cache": f2_provider_cache, "F3_content_key": f3_content_key, "F4_get": f4_get, "F5_put": f5_put, "F6_expired": f6_expired,
     "G1_range": g1_range, "G2_single": g2_single, "G3_blocks": g3_blocks, "G4_merge": g4_merge,
     "H4_reader_queries": h4_reader_queries, "H5_readers": h5_readers, "M1_writer_choice": m1_writer_choice, "M4_writers": m4_writers, "O3_command": o3_command, "O4_invoice_name": o4_invoice_name,
@@ -341,6 +366,13 @@ _FIRST_TEXT = f"WITH {CANDIDATES_SQL} SELECT conv_id, reader, sha1(text) AS text
 _EVENTS = "(SELECT event_type || '-' || (user_id % 200) AS key, props AS text, ts AS stored_at, event_id FROM events)"
 _EXTRACT = {n: E1_SQL.replace("{limit}", str(limit)).replace("{way}", way.replace("{limit}", str(limit))) for n, limit, way in (("default", 60, _GATE), ("ocr", 60, "true"), ("quality", 80, _GATE))}
 _TEXT_ONLY = f"WITH {CANDIDATES_SQL}, t AS (SELECT * FROM live WHERE reader IN ('pdftotext', 'pdfbox') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY priority) = 1) SELECT conv_id, reader, false AS is_scanned, sha1(text) AS text_sha1 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN t USING (conv_id)"
+_OF_MODE = f"WITH {CANDIDATES_SQL}, t AS (SELECT conv_id, reader, text FROM live WHERE reader = 'pdftotext' AND turn % 8 = {{k}} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY priority) = 1) SELECT conv_id, reader, false AS is_scanned, sha1(text) AS text_sha1 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN t USING (conv_id)"
+_WORDS = "(SELECT conv_id, turn // 2 AS line, turn, string_agg('w' || turn, '') AS t FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY ALL)"
+_MODES = {
+    "layout": _OF_MODE.format(k=0), "raw": _OF_MODE.format(k=4),
+    "rowaligned": f"SELECT conv_id, NULL::VARCHAR AS reader, false AS is_scanned, sha1(string_agg(t, chr(10) ORDER BY line)) AS text_sha1 FROM (SELECT conv_id, line, string_agg(t, ' ' ORDER BY turn % 3, turn) AS t FROM {_WORDS} GROUP BY ALL) GROUP BY conv_id",
+    "ocr-rowaligned": f"SELECT conv_id, NULL::VARCHAR AS reader, true AS is_scanned, sha1(string_agg(t, ' ' ORDER BY turn % 3, turn)) AS text_sha1 FROM {_WORDS} GROUP BY conv_id",
+}
 
 ORACLE = {
     "D1_bbox_words": f"WITH {BBOX_SQL} SELECT l_orderkey, page, x, y, t FROM w",
@@ -348,6 +380,11 @@ ORACLE = {
     "D3_rows": f"WITH w AS (SELECT l_orderkey, l_extendedprice AS x, l_quantity AS y, l_linenumber * 10000000 + l_partkey AS seq, l_returnflag AS t FROM lineitem), {_ROWS_SQL.format(w='w', by='l_orderkey')} SELECT l_orderkey, row::BIGINT AS row, row_text FROM l",
     "D4_row_aligned": f"""WITH {BBOX_SQL}, {_ROWS_SQL.format(w='w', by='l_orderkey, page')}, p AS (SELECT l_orderkey, page, string_agg(row_text, '/' ORDER BY row) AS text FROM l GROUP BY ALL)
         SELECT l_orderkey, string_agg(text, '/' ORDER BY page) AS text FROM p GROUP BY l_orderkey""",
+    "D5_ocr_row_aligned": f"""WITH w AS (SELECT l_orderkey, l_partkey % 2 AS page, (l_partkey % 900)::DOUBLE AS x, (l_quantity::INT * 4)::DOUBLE AS y, l_partkey::VARCHAR AS t,
+            row_number() OVER (PARTITION BY l_orderkey, l_partkey % 2 ORDER BY l_linenumber, l_partkey, l_quantity) AS seq FROM lineitem),
+        {_ROWS_SQL.replace("> 3", "> 15").format(w='w', by='l_orderkey, page')}, p AS (SELECT l_orderkey, page, string_agg(row_text, '/' ORDER BY row) AS text FROM l GROUP BY ALL)
+        SELECT l_orderkey, string_agg(text, '/' ORDER BY page) AS text FROM p GROUP BY l_orderkey""",
+    "E14_all_variants": "SELECT conv_id, variant, reader, is_scanned, text_sha1 FROM (" + " UNION ALL ".join(f"SELECT conv_id, {quoted(n)} AS variant, reader, is_scanned, text_sha1 FROM ({q})" for n, q in (*_EXTRACT.items(), ("textonly", _TEXT_ONLY), *_MODES.items())) + ")",
     "E1_extract_text": _EXTRACT["default"],
     "E2_text_waterfall": _FIRST_TEXT.format(readers="'pdftotext', 'pdfbox'"),
     "E3_ocr_waterfall": f"""WITH {CANDIDATES_SQL}, {scores_sql("live", "conv_id, turn, reader, priority")} SELECT conv_id, reader, sha1(text) AS text_sha1 FROM scored WHERE reader IN ('tesseract', 'ocrmypdf')

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, command
+from ..functions.quality import with_quality
+from ..operators.select import OCRMYPDF_CASCADE, cascade, dual_strategy, settings_cascade
 from ..shipping import ship
 from .registry import READERS, Registry
 
@@ -78,13 +80,13 @@ class ToolReader:
 
 
 class PdfToText(ToolReader):
-    """Layout text, or raw text where ``layout`` is off; one of them, the dual strategy isn't wired in."""
+    """Layout text, or raw text where ``layout`` is off; ``candidates`` takes the one that scores higher."""
 
     def __init__(self, settings: Settings | None = None):
         super().__init__("pdftotext", ("pdftotext",), settings or Settings())
 
     def read(self, pdf: Path, folder: Path, options: dict) -> str | None:
-        template = ["pdftotext", "[MODE]", "-enc", "UTF-8", "[PDF]", "-"]
+        template = [self.settings.executable("pdftotext"), "[MODE]", "-enc", "UTF-8", "[PDF]", "-"]
         raw = run_tool(command(template, {"MODE": "-layout" if options.get("layout", True) else "-raw", "PDF": str(pdf)}))
         return enough(raw.decode("utf-8", "replace")) if raw is not None else None
 
@@ -96,7 +98,7 @@ class PdfBox(ToolReader):
     def read(self, pdf: Path, folder: Path, options: dict) -> str | None:
         out = folder / "out.txt"
         jar = self.settings.executables.get("pdfbox-app.jar", "pdfbox-app.jar")
-        ran = run_tool(["java", "-jar", jar, "export:text", "-i", str(pdf), "-o", str(out)])
+        ran = run_tool([self.settings.executable("java"), "-jar", jar, "export:text", "-i", str(pdf), "-o", str(out)])
         return enough(out.read_text("utf-8", "replace")) if ran is not None and out.exists() else None
 
 
@@ -108,12 +110,16 @@ class Tesseract(ToolReader):
 
     def read(self, pdf: Path, folder: Path, options: dict) -> str | None:
         s = self.settings
-        if run_tool(["pdftoppm", "-png", "-r", str(options.get("dpi", s.pdftoppm_dpi)), str(pdf), str(folder / "page")]) is None:
+        if run_tool([s.executable("pdftoppm"), "-png", "-r", str(options.get("dpi", s.pdftoppm_dpi)), str(pdf), str(folder / "page")]) is None:
             return None
         images = sorted(folder.glob("page*.png"), key=lambda p: int(re.findall(r"\d+", p.stem)[-1]))
         texts = []
+        straighten = s.executable("convert") if options.get("deskew", True) else None
         for image in images:
-            raw = run_tool(["tesseract", str(image), "stdout", "-l", options.get("language", s.tesseract_lang), "--psm", str(options.get("psm", s.tesseract_psm))])
+            straight = folder / f"straight-{image.name}"
+            if straighten and run_tool([straighten, str(image), "-deskew", "40%", str(straight)]) is not None and straight.exists():
+                image = straight
+            raw = run_tool([s.executable("tesseract"), str(image), "stdout", "-l", options.get("language", s.tesseract_lang), "--psm", str(options.get("psm", s.tesseract_psm))])
             texts.append((raw or b"").decode("utf-8", "replace").strip())
         return enough(PAGE_MARK.join(t for t in texts if t))
 
@@ -124,7 +130,7 @@ class OcrMyPdf(ToolReader):
 
     def read(self, pdf: Path, folder: Path, options: dict) -> str | None:
         side, mode = folder / "side.txt", "--force-ocr" if options.get("force_ocr") else "--skip-text"
-        arguments = ["ocrmypdf", mode, "--sidecar", str(side), "-l", options.get("language", self.settings.tesseract_lang), "--tesseract-pagesegmode", str(self.settings.ocrmypdf_psm), str(pdf), str(folder / "out.pdf")]
+        arguments = [self.settings.executable("ocrmypdf"), mode, "--sidecar", str(side), "-l", options.get("language", self.settings.tesseract_lang), "--tesseract-pagesegmode", str(options.get("psm", self.settings.ocrmypdf_psm)), str(pdf), str(folder / "out.pdf")]
         ran = run_tool(arguments, timeout=900, ok=(0, 6))
         return enough(SKIPPED.sub("", side.read_text("utf-8", "replace"))) if ran is not None and side.exists() else None
 
@@ -212,18 +218,90 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(files: DataFrame, names: list[str] | None = None, options: dict | None = None, settings: Settings | None = None) -> DataFrame:
-    """(path, reader, priority, text): what each available reader makes of each file, run inside the tasks."""
+    """(path, reader, priority, text): what each available reader makes of each file, run inside the tasks.
+
+    Where pdftotext runs, it runs in both modes, unless the option ``dual`` is off: the other mode's text is
+    taken if it scores higher. Recognisers run once; ``recognised`` tries settings in turn.
+    """
+    given = options or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = [r for r in readers(settings).available() if names is None or r.name in names]
         for rows in batches:
             out = []
             for path, content in zip(rows["path"], rows["content"], strict=True):
-                out += [(path, r.name, r.priority, r.extract(path, content, options or {})) for r in own if r.can_handle(path, content)]
-            yield pd.DataFrame(out, columns=["path", "reader", "priority", "text"])
+                for r in own:
+                    if r.can_handle(path, content):
+                        text, other = r.extract(path, content, given), None
+                        if text is not None and isinstance(r, PdfToText) and given.get("dual", True):
+                            other = r.extract(path, content, given | {"layout": not given.get("layout", True)})
+                        out.append((path, r.name, r.priority, text, other))
+            yield pd.DataFrame(out, columns=["path", "reader", "priority", "text", "_other"])
+
+    ship(files.sparkSession)
+    rows = files.mapInPandas(run, "path string, reader string, priority int, text string, _other string")
+    if not given.get("dual", True):
+        return rows.drop("_other")
+    language = given.get("language", (settings or Settings()).tesseract_lang)
+    rows = rows.withColumn("_first", F.when(F.col("_other").isNotNull(), F.col("text")))  # nothing else needs a score
+    rows = with_quality(with_quality(rows, "_first", language, "_s"), "_other", language, "_o")
+    return rows.select("path", "reader", "priority", dual_strategy(F.col("text"), F.col("_other"), F.col("_s"), F.col("_o")).alias("text"))
+
+
+def recognised(files: DataFrame, name: str = "tesseract", options: dict | None = None, settings: Settings | None = None) -> DataFrame:
+    """(path, reader, priority, text, language, psm, dpi, score): a recogniser's cascade of settings, a round for each.
+
+    Only files whose best text is under the threshold go on to the next round; a file that the first round makes
+    nothing of doesn't. With ``tesseract_auto_select_language`` and several languages, each alone and all together
+    are tried so, and the highest score wins. Without ``quality_check`` there is one round.
+    """
+    s, given = settings or Settings(), options or {}
+    languages = given.get("language", s.tesseract_lang)
+    listed = [*dict.fromkeys([*languages.split("+"), languages])] if name == "tesseract" and given.get("auto_select_language", s.tesseract_auto_select_language) else [languages]
+    if name == "tesseract":
+        tries = settings_cascade(given.get("psm", s.tesseract_psm), given.get("dpi", s.pdftoppm_dpi))
+    else:
+        tries = [t for t in settings_cascade(given.get("psm", s.ocrmypdf_psm), s.pdftoppm_dpi, OCRMYPDF_CASCADE) if t[2] == s.pdftoppm_dpi]
+    check, threshold = given.get("quality_check", s.quality_check_enabled), given.get("threshold", s.quality_threshold)
+    best = [_cascade(files, name, language, tries if check else tries[:1], threshold, given, s).withColumn("_ord", F.lit(k)) for k, language in enumerate(listed)]
+    out = best[0]
+    for x in best[1:]:
+        out = out.unionByName(x)
+    row = F.struct(*[c for c in out.columns if c not in ("path", "_ord")])
+    return out.groupBy("path").agg(F.max_by(row, F.struct(F.col("score"), -F.col("_ord"))).alias("r")).select("path", "r.*")
+
+
+def _cascade(files: DataFrame, name: str, language: str, tries: list[tuple[int, int, int]], threshold: float, given: dict, settings: Settings) -> DataFrame:
+    def run_with(psm: int, dpi: int):
+        own = given | {"psm": psm, "dpi": dpi, "language": language}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = readers(settings).get(name)
+            for rows in batches:
+                texts = [reader.extract(p, c, own) if reader.available() and reader.can_handle(p, c) else None for p, c in zip(rows["path"], rows["content"], strict=True)]
+                yield pd.DataFrame({"path": rows["path"], "text": pd.Series(texts, dtype=object)})
+
+        return run
 
     ship(files.sparkSession)
-    return files.mapInPandas(run, "path string, reader string, priority int, text string")
+    rounds, left = [], files
+    for k, psm, dpi in tries:
+        texts = left.select("path", "content").mapInPandas(run_with(psm, dpi), "path string, text string").where("text IS NOT NULL")
+        # Kept, since the next round depends on its scores; lost parts are recognised again.
+        scored = with_quality(texts, "text", language).withColumns({"ord": F.lit(k), "psm": F.lit(psm), "dpi": F.lit(dpi)}).persist()
+        rounds.append(scored)
+        if (k, psm, dpi) == tries[-1]:
+            break
+        low = scored.where(F.col("score") < threshold).select("path") if k == 0 else left.select("path").join(scored.where(F.col("score") >= threshold), "path", "left_anti")
+        left = files.join(low, "path", "left_semi")
+        if low.isEmpty():
+            break
+    every = rounds[0]
+    for x in rounds[1:]:
+        every = every.unionByName(x)
+    won = cascade(every, "path", "ord", threshold=threshold).select("path", "ord")
+    out = every.join(won, ["path", "ord"]).withColumns({"reader": F.lit(name), "priority": F.lit(READERS[name][0]), "language": F.lit(language)})
+    return out.select("path", "reader", "priority", "text", "language", "psm", "dpi", "score")
 
 
 def attachments(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import shutil
 import subprocess
@@ -36,6 +37,30 @@ def wkhtmltopdf_command(page_size: Column, orientation: Column, margin_top: Colu
     )
 
 
+def wkhtmltopdf_arguments(program: str, options: dict, title: str | None, source: str, target: str) -> list[str]:
+    """The arguments for a rendering: paper, orientation, margins by side, title, and the switches and numbers that are set."""
+    out = [program, "--quiet", "--encoding", "UTF-8", "--page-size", str(options.get("paper_size") or "A4")]
+    if str(options.get("orientation", "")).lower() in ("landscape", "l"):
+        out += ["--orientation", "Landscape"]
+    for side in ("top", "right", "bottom", "left"):
+        if (margin := (options.get("margins") or {}).get(side)) is not None:
+            out += [f"--margin-{side}", str(margin)]
+    out += ["--title", title] if title else []
+    out += [f"--{name.replace('_', '-')}" for name in ("grayscale", "lowquality", "disable_javascript") if options.get(name)]
+    for name, kind in (("dpi", int), ("zoom", float)):
+        out += [f"--{name}", str(kind(options[name]))] if options.get(name) is not None else []
+    return [*out, source, target]
+
+
+def encodable(text: str) -> bool:
+    """Whether a standard font's encoding holds all characters; others would be lost."""
+    try:
+        text.encode("cp1252")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _stream(lines: list[str]) -> bytes:
     shown = [x.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for x in lines]
     return b"BT /F1 10 Tf %d TL %d %d Td " % (LEADING, MARGIN, 842 - MARGIN) + b" T* ".join(b"(" + x + b") Tj" for x in shown) + b" ET"
@@ -81,7 +106,10 @@ def _plain(content: dict) -> str:
 
 @dataclass
 class TextPdfWriter:
-    """Renders text, and html by its text, in Python: stands for the library-backed writers."""
+    """Renders text, and html by its text, in Python: stands for the library-backed writers.
+
+    Text with characters that the standard font's encoding lacks gives None, not a page with marks in their place.
+    """
 
     name: str = "tcpdf"
     supports_html: bool = True
@@ -98,7 +126,8 @@ class TextPdfWriter:
         return content["type"] in ("html", "text")
 
     def render(self, content: dict, options: dict) -> bytes | None:
-        return text_pdf(_plain(content), (content.get("metadata") or {}).get("title") or "")
+        text = _plain(content)
+        return text_pdf(text, (content.get("metadata") or {}).get("title") or "") if encodable(text) else None
 
     def info(self) -> dict:
         return {"name": self.name, "priority": self.priority, "available": self.available(), "description": WRITERS[self.name][-1]}
@@ -117,6 +146,8 @@ class InvoiceWriter(TextPdfWriter):
         if not self.can_handle(content):
             return None
         metadata = content["metadata"]
+        if not encodable(_plain(content)):
+            return None
         name = options.get("invoice_filename") or metadata.get("invoice_filename") or INVOICE_NAME
         return text_pdf(_plain(content), metadata.get("title") or "", {name: metadata["invoice_xml"].encode()})
 
@@ -126,15 +157,20 @@ class ToolWriter(TextPdfWriter):
     """The external renderer; not available where the program isn't."""
 
     name: str = "wkhtmltopdf"
+    program: str = "wkhtmltopdf"
 
     def available(self) -> bool:
-        return shutil.which("wkhtmltopdf") is not None
+        return shutil.which(self.program) is not None
 
     def render(self, content: dict, options: dict) -> bytes | None:
         with tempfile.TemporaryDirectory() as d:
             source, target = Path(d, "in.html"), Path(d, "out.pdf")
-            source.write_text(content["content"] if content["type"] == "html" else f"<pre>{content['content']}</pre>", encoding="utf-8")
-            ran = subprocess.run(["wkhtmltopdf", "--encoding", "UTF-8", "--page-size", options.get("page_size", "A4"), str(source), str(target)], capture_output=True, timeout=options.get("timeout", 120))
+            source.write_text(content["content"] if content["type"] == "html" else f"<pre>{html.escape(content['content'])}</pre>", encoding="utf-8")
+            arguments = wkhtmltopdf_arguments(self.program, options, (content.get("metadata") or {}).get("title"), str(source), str(target))
+            try:
+                ran = subprocess.run(arguments, capture_output=True, timeout=options.get("timeout", 120))
+            except (OSError, subprocess.TimeoutExpired):
+                return None
             return target.read_bytes() if ran.returncode == 0 and target.exists() else None
 
 
@@ -159,6 +195,19 @@ def create_pdf(content: dict, preferred: str | None = None, options: dict | None
     return None
 
 
+def html_to_pdf(content: str, metadata: dict | None = None, options: dict | None = None, preferred: str | None = None) -> bytes | None:
+    return create_pdf({"content": content, "type": "html", "metadata": metadata or {}}, preferred, options)
+
+
+def text_to_pdf(content: str, metadata: dict | None = None, options: dict | None = None, preferred: str | None = None) -> bytes | None:
+    return create_pdf({"content": content, "type": "text", "metadata": metadata or {}}, preferred, options)
+
+
+def file_to_pdf(path: str, metadata: dict | None = None, options: dict | None = None, preferred: str | None = None) -> bytes | None:
+    """Of an HTML file; raises FileNotFoundError where there is none."""
+    return html_to_pdf(Path(path).read_text("utf-8"), metadata, options, preferred)
+
+
 def render_pdfs(contents: DataFrame, preferred: str | None = None) -> DataFrame:
     """(key, pdf) of rows (key, content, type, metadata map): rendered inside the tasks, null where no writer can."""
 

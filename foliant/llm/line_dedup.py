@@ -134,10 +134,10 @@ def drop_common_lines(
     discard(counted)
 
     # Places: only hashes travel; a hot line's rows are split by AQE's skew join or meet a small build side.
-    places = keys.select(
-        "_k1", "_k2", F.posexplode(F.transform(lines_of(F.col("_text")), lambda x: hashed(x, min_chars))).alias("_pos", "h")
-    ).where("h IS NOT NULL")
-    places = places.select("_k1", "_k2", "_pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+    # Lines are rows before they are hashed, so that hashing is compiled.
+    places = keys.select("_k1", "_k2", F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line"))
+    h = hashed(F.col("_line"), min_chars)
+    places = places.select("_k1", "_k2", "_pos", h["h1"].alias("h1"), h["h2"].alias("h2")).where("h1 IS NOT NULL")
     dropped = places.join(common, HASH, "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_places"))
 
     made = ["n_lines", "n_dropped", "kept_text"]

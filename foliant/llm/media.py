@@ -22,7 +22,7 @@ from .common import named_column, ship, texts_of
 #: Bytes of payload in one image; longer payloads are several images.
 IMAGE_BYTES = 32 << 20
 #: Bytes handled at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def encode_payload(text: bytes) -> list[bytes]:

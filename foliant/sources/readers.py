@@ -316,6 +316,10 @@ def attachments(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "path string, ord int, filename string, content string")
 
 
+def languages_of(languages: str) -> list[str]:
+    return [x for x in dict.fromkeys(part.strip() for part in languages.split("+")) if x]
+
+
 def has_language_data(languages: str, folder: str) -> bool:
     """Whether all of a+b+c have model files; none asked for is true. Nothing is ever downloaded from tasks."""
-    return all(Path(folder, f"{x}.traineddata").is_file() for x in dict.fromkeys(languages.split("+")) if x)
+    return all(Path(folder, f"{x}.traineddata").is_file() for x in languages_of(languages))

@@ -1,12 +1,14 @@
 """Readers and the renderer with programs of our own in the tools' places."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
 from foliant.operators.provider import TextProvider
 from foliant.sources import pdf_pages as pages
-from foliant.sources import readers, writers
+from foliant.sources import readers, tools, writers
 
 GOOD = "The annual report of the company and the balance sheet with the audit for this business were prepared."
 BAD = "f r f r f r f r f r f r"
@@ -107,3 +109,51 @@ def test_provider_seeds(spark):
     got = {(r["k"], r["variant"]): r["text"] for r in p.variants().collect()}
     assert len(got) == 24 and got[1, "layout"] == GOOD and got[1, "raw"] is None and got[2, "raw"] == GOOD and got[3, "rowaligned"] is None
     assert p.everything().where(F.col("best.text") == GOOD).count() == 3
+
+
+def test_pages_as_images(files, tmp_path):
+    found = program(tmp_path, "pdftoppm", 'for last; do :; done; printf "%s" "$*" | sed "s# /.*##" > "$last.png"')
+    settings = Settings(executables={"pdftoppm": found})
+    made = writers.text_pdf("one\ftwo")
+    assert tools.page_image(made, 2, 150, settings) == b"-png -r 150 -f 2 -l 2 -singlefile"
+    for page in (0, -1, 3):
+        assert tools.page_image(made, page, settings=settings) is None
+    assert tools.page_image(b"no pdf", settings=settings) is None
+    assert tools.page_image(made, settings=Settings(executables={"pdftoppm": "/none"})) is None
+    failing = Settings(executables={"pdftoppm": program(tmp_path, "failing", "exit 1")})
+    assert tools.page_image(made, settings=failing) is None
+    rows = tools.page_images(files, settings=settings).collect()
+    assert len(rows) == 2 and all(base64.b64decode(r["base64"]) == bytes(r["image"]) == b"-png -r 72 -f 1 -l 1 -singlefile" for r in rows)
+    assert [r["base64"] for r in tools.page_images(files, 2, settings=settings).collect()] == [None, None]
+
+
+def test_programs_side_by_side(tmp_path):
+    log = tmp_path / "log"
+    body = f'echo + >> {log}; sleep 0.1; echo - >> {log}; exit "$1"'
+    found = program(tmp_path, "step", body)
+    got = tools.run_all({k: [found, str(k % 3)] for k in range(8)} | {"none": ["/none/such"]}, 3)
+    assert got == {k: k % 3 for k in range(8)} | {"none": -1} and tools.run_all({}) == {}
+    running, most = 0, 0
+    for x in log.read_text().split():
+        running += 1 if x == "+" else -1
+        most = max(most, running)
+    assert 1 < most <= 3
+
+
+def test_models(tmp_path):
+    at, asked = str(tmp_path / "models"), []
+
+    def fetch(name: str) -> bytes | None:
+        asked.append(name)
+        if name == "gone":
+            raise OSError(name)
+        return {"osd": b"x" * (1 << 20), "deu": b"y" * (1 << 21), "eng": b"z" * (1 << 20), "tiny": b"small"}.get(name)
+
+    assert not tools.has_models(at) and tools.usable_models(at) is None
+    assert tools.ensure_models(at, fetch) and asked == ["osd", "deu", "eng"]
+    assert tools.ensure_models(at, fetch) and len(asked) == 3  # nothing is fetched twice
+    assert tools.has_models(at) and readers.has_language_data(" deu + eng ", at) and readers.has_language_data("", at)
+    assert tools.usable_models(at) == at and tools.usable_models(at, languages="deu+fra") is None
+    for bad in ("tiny", "gone", "unknown"):
+        assert not tools.ensure_models(at, fetch, f"deu+{bad}") and tools.usable_models(at, fetch, bad) is None
+    assert sorted(p.name for p in (tmp_path / "models").iterdir()) == ["deu.traineddata", "eng.traineddata", "osd.traineddata"]

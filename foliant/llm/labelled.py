@@ -1,12 +1,19 @@
-"""Bounded, deterministic samples of labelled documents for models that are fitted on the driver."""
+"""Labelled documents for models: bounded, deterministic samples, or the features of every one in tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free, named_column, stored
+from .common import discard, free, named_column, stored, texts_of
+
+#: Rows of one block of features.
+BLOCK = 2048
 
 
 def remainder(id_col: Column, of: int) -> Column:
@@ -46,6 +53,54 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     return texts.select("pos", "label", "text"), [counts.get(0, 0), counts.get(1, 0)]
 
 
+def _featured(features: Callable[[bytes], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([features(t).tobytes() for t in texts_of(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(batch.num_rows, np.int32)), batch.column(1), found], ["id", "tag", "value", "features"])
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of labels and features of rows (id, tag, value, features) that come by id: its labels (tag 0), the highest last, then its texts (tag 1), of which the first counts."""
+
+    def block(labels: list[int], rows: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bytes(labels)], pa.binary()), pa.array([b"".join(rows)], pa.binary())], ["labels", "rows"])
+
+    last, labels, rows = np.array([[0], [1], [0]]), [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        before = np.concatenate([last, own[:, :-1]], axis=1)
+        last = own[:, -1:]
+        taken = np.flatnonzero((own[1] == 1) & (before[1] == 0) & (before[0] == own[0]))
+        labels += before[2][taken].tolist()
+        rows += batch.column(3).take(pa.array(taken)).to_pylist()
+        while len(rows) >= BLOCK:
+            yield block(labels[:BLOCK], rows[:BLOCK])
+            labels, rows = labels[BLOCK:], rows[BLOCK:]
+    if rows:
+        yield block(labels, rows)
+
+
+def every_labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, features: Callable[[bytes], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blocks (labels: a byte a document; rows: its doubles) of the features of every labelled document outside the held-out rows.
+
+    Which rows count, of labels and of documents, is as in ``sample``, but none is left out for the number of
+    them. Features are computed where the texts lie and shuffled once, by id; texts aren't.
+    """
+    label_id, label_of = named_column(id_col), named_column(label)
+    marks = labels.where(label_id.isNotNull() & label_of.isin(0, 1)).where(remainder(label_id, folds) != held)
+    marks = marks.select(label_id.cast("long").alias("id"), F.lit(0).alias("tag"), label_of.cast("long").alias("value"), F.lit(None).cast("binary").alias("features"))
+    text, id_ = named_column(text_col), named_column(id_col)
+    rows = docs.where(text.isNotNull() & id_.isNotNull()).where(remainder(id_, folds) != held).select(id_.cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    rows = rows.mapInArrow(_featured(features), "id long, tag int, value long, features binary")
+    ordered = rows.unionByName(marks).where("id IS NOT NULL").repartition("id").sortWithinPartitions("id", "tag", "value")
+    return stored(ordered.mapInArrow(_blocks, "labels binary, rows binary"), "labelled-features")
+
+
 def scored(docs: DataFrame, scorer, carry: list[str], text_col: str) -> tuple[DataFrame, str, str]:
     """``carry`` columns of every row with the score and the prediction of its whole text, and the names of these two.
 

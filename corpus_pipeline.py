@@ -28,8 +28,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose shingles of five words are similar to 0.8 or more, the one with the least id."""
-    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
+    """Keeps one document of each group whose shingles of five words are similar to 0.8 or more, the one with the least id.
+
+    Op9's fingerprints link first, at five bits, which three segments serve as well as four; each link is verified by similarity.
+    """
+    return drop_near_duplicates(docs, shingle=5, differ=5, similarity=0.8)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Candidates and verification by similarity: documents of which the word shingles have at least a given Jaccard similarity.
+"""Near-duplicates by similarity: documents of which the word shingles have at least a given Jaccard similarity.
 
-The part of ``simhash`` that serves a similarity instead of a number of differing bits. A signature of ``bands`` x
-``rows`` minima finds candidates: two documents meet if all minima of a band are equal. A pair of similarity s is
-missed with probability (1 - s^rows)^bands: with 32 bands of 5 and s = 0.8 three in a million, less above.
+The part of ``simhash`` that serves a similarity besides a number of differing bits. Its fingerprints come first:
+
+0. fingerprints meet by one-wildcard variants of their segments and are verified bit by bit, as in op9; each link, and
+   each text with the least one of its fingerprint, is then verified on the shingle sets.
+
+Pairs of a similarity may differ in more bits than segments find. A signature of ``bands`` x ``rows`` minima finds
+those: two documents meet if all minima of a band are equal. A pair of similarity s is missed there with probability
+(1 - s^rows)^bands: with 32 bands of 5 and s = 0.8 three in a million, less above.
 
 Nothing links that hasn't been compared on the shingle sets, and no unverified candidates are chained:
 
-1. each document of a band is compared with the band's least one, its hub (linear in the documents of a band);
+1. each document of a band is compared with the band's least one, its hub, unless step 0 has joined them (linear in
+   the documents of a band);
 2. bands whose other members aren't all of one component by then go on: those outside the band's largest
    component are dealt into blocks, all members into slices, and each slice runs past each block.
 
-For a group of near copies step 1 links all but a few, so step 2 costs these few times the group. Its rows grow
+For a group of near copies the first steps link all but a few, so step 2 costs these few times the group. Its rows grow
 with the square of a band over ``block`` only where a band's documents are mostly not similar to each other.
 Texts are told apart by 64-bit hashes of their words; of each only one text is read again for the comparisons.
 """
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, named_column, ship, stored, texts_of, width
 from .components import components
+from .simhash import SEED, fingerprint_links, fingerprint_of
 
-SEED = 42
 #: Shingles whose hashes are multiplied at once.
 CHUNK = 512
 #: Rows of one written batch.
@@ -39,8 +45,8 @@ SEARCHED, HELD, OTHER = 0, 1, 2
 HEAVY = 1000
 
 
-def shingles(text: bytes, shingle: int = 5) -> tuple[int, np.ndarray]:
-    """Hash of a text's words, A-Z lower-cased, and the sorted distinct hashes of its shingles, none without words.
+def hashed(text: bytes, shingle: int = 5) -> tuple[int, np.ndarray]:
+    """Hash of a text's words, A-Z lower-cased, and the hashes of its shingles, repeats included, none without words.
 
     Words are as in ``simhash.fingerprint``; with fewer words than a shingle has, all words are one.
     """
@@ -51,8 +57,12 @@ def shingles(text: bytes, shingle: int = 5) -> tuple[int, np.ndarray]:
         return key, np.array([key] if n else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = [0, *(ends[: n - shingle] + 1).tolist()]
-    hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
-    return key, np.unique(hashes)
+    return key, np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n - shingle + 1)
+
+
+def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(hashed(text, shingle)[1])
 
 
 def band_keys(own: np.ndarray, bands: int, rows: int) -> list[int]:
@@ -71,11 +81,16 @@ def _signatures(shingle: int, bands: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [shingles(t, shingle) for t in texts_of(part.column(2))]
-                keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
-                own = pa.array([band_keys(s, bands, rows) for _, s in found], pa.list_(pa.int64()))
-                weights = pa.array([1 + len(s) / HEAVY for _, s in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys), weights, own], ["id", "row", "key", "weight", "bands"])
+                keys, prints, weights, own = [], [], [], []
+                for text in texts_of(part.column(2)):
+                    key, hashes = hashed(text, shingle)
+                    distinct = np.unique(hashes)
+                    keys.append(key)
+                    prints.append(fingerprint_of(hashes))
+                    weights.append(1 + len(distinct) / HEAVY)
+                    own.append(band_keys(distinct, bands, rows))
+                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, prints)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, pa.array(weights, pa.float64()), pa.array(own, pa.list_(pa.int64()))], ["id", "row", "key", "fp", "weight", "bands"])
 
     return run
 
@@ -161,7 +176,7 @@ def _linker(shingle: int, similarity: float):
                         if inside and block is None:
                             out += searched(keys, sets, joined)
                         at, keys, sets, inside, block, joined = (band, number), [], [], False, None, Joined()
-                    own = shingles(text, shingle)[1]
+                    own = shingles(text, shingle)
                     joined.join(component, key)
                     if role < OTHER:
                         keys.append(key)
@@ -193,38 +208,59 @@ def _compared(groups: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return ordered.mapInArrow(_linker(shingle, similarity), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, block: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, block: int = 256, differ: int = 5) -> DataFrame:
     """One row per row of ``docs``: id, row (hash of the text), component, component_id (least id that can be reached over pairs of ``similarity`` or more).
 
     Texts of equal words always link, those without words too; null counts as empty. Rows without an id are as in
     ``simhash.near_duplicates``. ``block``: how many texts a group holds at once and about as many run past
-    them, long ones counted as several; a hub goes with an eighth as many followers.
+    them, long ones counted as several; a hub goes with an eighth as many followers. ``differ``: bits at which
+    fingerprints link in step 0.
     """
     spark = docs.sparkSession
     ship(spark)
     text, id_ = named_column(text_col), named_column(id_col).cast("long")
     read = docs.select(id_.alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    found = stored(read.mapInArrow(_signatures(shingle, bands, rows), "id long, row long, key long, weight double, bands array<long>"), "signatures")
+    found = stored(read.mapInArrow(_signatures(shingle, bands, rows), "id long, row long, key long, fp long, weight double, bands array<long>"), "signatures")
     # One row stands for all texts of equal words.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    distinct = stored(found.groupBy("key").agg(first, F.first("weight").alias("weight"), F.first("bands").alias("bands")), "distinct-texts")
+    distinct = stored(found.groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "distinct-texts")
+
+    # Fingerprints that link, by the least text of each, and texts that share a fingerprint.
+    prints = stored(distinct.groupBy("fp").agg(F.min("key").alias("hub"), F.count("*").alias("n")), "distinct-fingerprints")
+    bits = stored(fingerprint_links(prints.select("fp"), differ), "fingerprint-links")
+    close = bits.join(prints.select(F.col("fp").alias("a"), "hub"), "a").join(prints.select(F.col("fp").alias("b"), F.col("hub").alias("key")), "b")
+    equal = distinct.join(prints.where("n > 1").select("fp", "hub"), "fp").where("key <> hub")
+    close = stored(close.select("hub", "key").unionByName(equal.select("hub", "key")), "fingerprint-pairs")
 
     # A hot band is reduced map side; its join is one that AQE can split, since the hubs are written first.
     met = distinct.select("key", "weight", F.explode("bands").alias("band"))
     hubs = stored(met.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     placed = stored(met.join(hubs, "band").where("key <> hub").select("band", "key", "hub", "n", "weight"), "band-members")
     near = stored(placed.select("hub", "key").distinct(), "candidates")
-    wanted = near.select("key").unionByName(near.select(F.col("hub").alias("key"))).distinct()
+    wanted = near.unionByName(close).select(F.explode(F.array("hub", "key")).alias("key")).distinct()
     wanted = stored(distinct.join(wanted, "key", "left_semi").select("key", F.coalesce("first.id", F.lit(0).cast("long")).alias("id"), "first.none", "first.row"), "candidate-texts")
     texts = docs.select(text.alias("text"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), id_.isNull().alias("none"), F.xxhash64(text).alias("row"))
     same = ["id", "none", "row"]
     texts = stored(texts.join(wanted, same).dropDuplicates(same).select("key", "text"), "texts")
 
-    # 1. Each with its hub; a hub's followers are dealt into parts, each of which the hub goes to.
-    parts = stored(near.groupBy("hub").agg(F.ceil(F.count("*") / max(1, block // 8)).cast("int").alias("parts")), "parts")
-    followers = near.join(parts, "hub").select(F.col("hub").alias("band"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(OTHER).alias("role"), "key", F.col("key").alias("component"))
-    leaders = parts.select(F.col("hub").alias("band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(HELD).alias("role"), F.col("hub").alias("key"), F.col("hub").alias("component"))
-    links = stored(_compared(leaders.unionByName(followers), texts, shingle, similarity), "similar")
+    def with_hubs(pairs: DataFrame) -> DataFrame:
+        """Verified links of pairs (hub, key); a hub's followers are dealt into parts, each of which the hub goes to."""
+        parts = stored(pairs.groupBy("hub").agg(F.ceil(F.count("*") / max(1, block // 8)).cast("int").alias("parts")), "parts")
+        followers = pairs.join(parts, "hub").select(F.col("hub").alias("band"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(OTHER).alias("role"), "key", F.col("key").alias("component"))
+        leaders = parts.select(F.col("hub").alias("band"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(HELD).alias("role"), F.col("hub").alias("key"), F.col("hub").alias("component"))
+        out = stored(_compared(leaders.unionByName(followers), texts, shingle, similarity), "similar")
+        discard(parts)
+        return out
+
+    # 0. The links of the fingerprints.
+    first_links = with_hubs(close)
+    member = stored(components(first_links), "components-0")
+
+    # 1. Each of a band with its hub, unless they are joined.
+    ends = [member.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")) for end in ("hub", "key")]
+    apart = F.coalesce("hub_in", "hub") != F.coalesce("key_in", "key")
+    left = stored(near.join(ends[0], "hub", "left").join(ends[1], "key", "left").where(apart).select("hub", "key"), "candidates-left")
+    links = first_links.unionByName(with_hubs(left))
 
     # 2. Bands whose members besides the hub are of more than one component.
     member = stored(components(links), "components-1")
@@ -243,7 +279,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     others = late.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(OTHER).alias("role"), "key", "component", own.alias("own"), slices.alias("slices"), slice_.alias("slice"))
     others = others.where("own <> block").select("band", (F.col("block") * F.col("slices") + F.col("slice")).cast("int").alias("part"), "role", "key", "component")
     late = stored(_compared(minor.unionByName(others), texts, shingle, similarity), "similar-late")
-    discard(near, wanted, hubs, parts, sizes, rest, placed)
+    discard(near, left, wanted, hubs, prints, bits, close, sizes, rest, placed)
 
     member = components(links.unionByName(late)).withColumnRenamed("node", "key")
     joined = distinct.join(member, "key", "left").withColumn("component", F.coalesce("component", "key"))

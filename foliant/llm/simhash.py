@@ -11,8 +11,8 @@ group a search over what is not yet reached finds the links that hold the group
 group of near copies yields about as many links as members, not all its pairs. Every pair of a group is
 compared unless both are joined already.
 
-Where a similarity of the shingles is asked for instead of a number of bits, candidates come from ``minhash``:
-at a Jaccard similarity of 0.8 two fingerprints differ in about ten of 64 bits, which no three segments find.
+Where a similarity of the shingles is asked for too, the links of the fingerprints are verified on the shingle sets,
+and ``minhash`` finds the rest: at a Jaccard similarity of 0.8 two fingerprints differ in about ten of 64 bits.
 """
 
 from __future__ import annotations
@@ -27,13 +27,30 @@ from pyspark.sql import functions as F
 
 from .common import discard, named_column, only_rows, ship, stored, texts_of, width
 from .components import components
-from .minhash import similar_documents
 
 SEED = 42
 #: Runs of one variant up to this many fingerprints are compared by shifting; longer ones by search.
 SHORT = 24
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes set."""
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """``fingerprint`` of a text whose shingles, repeats included, have these hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += _ones(hashes[at : at + (1 << 16)])
+    return _majority(counts, len(hashes))
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """64-bit SimHash of a text's word shingles, A-Z lower-cased; 0 without words.
 
@@ -53,9 +70,8 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), 1 << 16):
         hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        counts += _ones(hashes)
+    return _majority(counts, len(starts))
 
 
 def _fingerprints(shingle: int):
@@ -236,11 +252,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component, with all its columns: the one with the least id.
 
     Components are those of ``near_duplicates`` or, with a ``similarity``, of documents whose shingles have at
-    least that Jaccard similarity (``minhash.similar_documents``). Rows without an id come last; of rows that
+    least that Jaccard similarity: links of ``differ`` bits verified on the shingles, and the pairs beyond that
+    many bits (``minhash.similar_documents``). Rows without an id come last; of rows that
     share the id, the one with the least text hash stays; rows that repeat both id and text are one document.
     """
     if similarity is None:
         found = _near(docs, id_col, text_col, shingle, differ, 4096, 8192)
     else:
-        found = similar_documents(docs, id_col, text_col, shingle, similarity)
+        from .minhash import similar_documents  # which takes fingerprints and their links from here
+
+        found = similar_documents(docs, id_col, text_col, shingle, similarity, differ=differ)
     return only_rows(docs, first_of_each(found), id_col, text_col)

@@ -5,8 +5,9 @@ import pytest
 from helpers import empty, frame, normal, prose, texts
 
 import corpus_pipeline
+from foliant.llm import minhash
 from foliant.llm.minhash import similar, similar_documents
-from foliant.llm.simhash import drop_near_duplicates
+from foliant.llm.simhash import drop_near_duplicates, fingerprint
 
 
 def brute_sets(rows):
@@ -78,3 +79,30 @@ def test_search_links_as_brute_force():
 
 def test_empty_table(spark):
     assert similar_documents(empty(spark)).count() == 0 and drop_near_duplicates(empty(spark), shingle=5, similarity=0.8).count() == 0
+
+
+def test_fingerprints_link_and_are_verified(spark):
+    """With minima that almost never meet, what links are the fingerprints of op9, verified on the shingles."""
+    rows, (same, words) = edited(), (prose(random.Random(7), 5), [prose(random.Random(k), 12) for k in (8, 9)])
+    rows += [(9000 + k, " ".join([same] * 200) + " " + w) for k, w in enumerate(words)]
+    sets, prints = brute_sets(rows), [fingerprint((t or "").encode(), 5) for _, t in rows]
+    roots = brute_roots(sets)
+    assert (prints[-1] ^ prints[-2]).bit_count() <= 5 and len({roots[-1], roots[-2]}) == 2
+    got = {r["id"]: r["component_id"] for r in similar_documents(frame(spark, rows), bands=1, rows=400).collect()}
+    joined = 0
+    for x in range(len(rows)):
+        for y in range(x):
+            i, j = rows[x][0], rows[y][0]
+            assert roots[x] == roots[y] or got[i] != got[j]
+            if sets[x] != sets[y] and (prints[x] ^ prints[y]).bit_count() <= 5 and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8:
+                joined += 1
+                assert got[i] == got[j]
+    assert joined > 10
+
+
+def test_pipeline_stage_goes_through_the_fingerprints(spark, monkeypatch):
+    seen, links = [], minhash.fingerprint_links
+    monkeypatch.setattr(minhash, "fingerprint_links", lambda fps, differ: seen.append((differ, fps.count())) or links(fps, differ))
+    rows = edited()
+    corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
+    assert seen == [(5, len({fingerprint(t.encode(), 5) for _, t in rows}))]

@@ -54,8 +54,8 @@ def missing_score(text: Column, norm: Column | None = None, low: Column | None =
     for pattern, literal in BROKEN_WORDS:
         n = _count(t, f"(?i){pattern}")
         known = known + _count_where(low, literal, n)
-    rate = (2 * single + 3 * known) / F.greatest(F.lit(1.0), F.length(t) / 1000)
-    return _clamp(100 - 15 * rate)
+    # Multiplied before it is divided: the other way round a score of 0 comes out as 1e-14, which counts as above 0.
+    return _clamp(100 - 15 * (2 * single + 3 * known) / F.greatest(F.lit(1.0), F.length(t) / 1000))
 
 
 def one_of(words: list[str]) -> str:

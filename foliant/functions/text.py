@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -171,16 +172,26 @@ def pdf_version(content: Column) -> Column:
     return F.nullif(F.regexp_extract(head, r"%PDF-(\d+\.\d+)", 1), F.lit(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where a column named in a lambda would be computed anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_metadata(output: Column) -> Column:
     """``Key: value`` lines as a map; of equal keys the last one counts."""
     line = r"^([^:\n]+):[ \t\r\f\x0b]*(.*)$"
-    found = F.filter(F.split(output, "\n", -1), lambda x: x.rlike(line))
-    pairs = F.transform(found, lambda x: F.struct(php_trim(F.regexp_extract(x, line, 1)).alias("key"), php_trim(F.regexp_extract(x, line, 2)).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    # The last of equal keys stands first in the reversed array, where each distinct key is looked up once.
-    newest = F.reverse(pairs)
-    places = F.reverse(keys)
-    return F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.element_at(newest, F.array_position(places, k).cast("int"))["value"]))
+    found = F.transform(F.split(output, "\n", -1), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("key"), F.regexp_extract(x, line, 2).alias("value")))
+    # A line that doesn't match gives an empty key, one that does never.
+    pairs = F.transform(F.filter(found, lambda p: p["key"] != ""), lambda p: F.struct(php_trim(p["key"]).alias("key"), php_trim(p["value"]).alias("value")))
+
+    def newest(rows: Column, keys: Column, names: Column) -> Column:
+        """The last of equal keys stands first in the reversed arrays, where each distinct key is looked up once."""
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(rows, F.array_position(keys, k).cast("int"))["value"]))
+
+    def of_keys(rows: Column, keys: Column) -> Column:
+        return _let(F.array_distinct(F.reverse(keys)), lambda names: newest(rows, keys, names))
+
+    return _let(F.reverse(pairs), lambda rows: _let(F.transform(rows, lambda p: p["key"]), lambda keys: of_keys(rows, keys)))
 
 
 def page_count(metadata: Column) -> Column:

@@ -21,6 +21,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Parts by key, dealt over all cores: even millions of them are one split of a file."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", *columns))
+
+
 def r6(x: Column) -> Column:
     """Rounded; a negative zero becomes zero."""
     return F.round(x, 6) + F.lit(0.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import page_count, parse_metadata
-from .common import quoted, r6, table
+from .common import parts, quoted, r6, table
 
 _ROWS = ", ".join(f"({k}, {quoted(n)}, {w}::DOUBLE, {h}::DOUBLE, {g.DETECTION_ORDER.index(n)})" for k, (n, w, h) in enumerate(g.PAPER_FORMATS))
 FORMATS_SQL = f"formats(declared, name, fw, fh, detect_ord) AS (VALUES {_ROWS})"
@@ -20,9 +20,8 @@ DETECT_SQL = f"(SELECT min_by(name, detect_ord) FROM formats WHERE {MATCH_SQL})"
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey")
     formats = F.broadcast(g.paper_formats(spark))
-    both = parts.join(formats, F.col("p_partkey") % 26 == F.col("declared"))
+    both = parts(spark, sf_dir).join(formats, F.col("p_partkey") % 26 == F.col("declared"))
     turn, fw, fh = F.col("p_partkey") % 3 == 0, F.col("format_width"), F.col("format_height")
     w = F.when(turn, fh).otherwise(fw) + (F.col("p_partkey") % 17 - 8)
     return both.select("p_partkey", w.alias("w"), (F.when(turn, fw).otherwise(fh) + (F.col("p_partkey") % 5 - 2)).alias("h"))
@@ -47,9 +46,9 @@ INFO_SQL = "'Title:   Part ' || p_partkey || chr(10) || 'Pages:          ' || (p
 
 
 def c1_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("s", g.parse_page_size(_info()))
+    pages = parts(spark, sf_dir, "p_size").withColumn("s", g.parse_page_size(_info()))
     mm, inch = g.from_mm(F.col("p_size").cast("double")), g.from_inches(F.col("p_size").cast("double"))
-    return parts.select("p_partkey", F.col("s.width_pt").alias("width_pt"), F.col("s.height_pt").alias("height_pt"), r6(mm).alias("from_mm"), r6(inch).alias("from_inches"), g.parse_page_size(F.lit("invalid")).isNull().alias("no_match"))
+    return pages.select("p_partkey", F.col("s.width_pt").alias("width_pt"), F.col("s.height_pt").alias("height_pt"), r6(mm).alias("from_mm"), r6(inch).alias("from_inches"), g.parse_page_size(F.lit("invalid")).isNull().alias("no_match"))
 
 
 def c2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,7 @@ def c7_format_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c8_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("A4", "a4", "LETTER", "JIS-B4", "jisb4", "jb5", "legal ", "c_5", "invalid", "")])
     given = F.element_at(names, (F.col("p_partkey") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", given.alias("given"), g.format_of_name(given).alias("format"))
+    return parts(spark, sf_dir).select("p_partkey", given.alias("given"), g.format_of_name(given).alias("format"))
 
 
 def c9_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +92,10 @@ def c9_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c10_file_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("m", parse_metadata(_info()))
+    files = parts(spark, sf_dir, "p_size").withColumn("m", parse_metadata(_info()))
     size = g.parse_page_size(F.try_element_at("m", F.lit("Page size")))
-    parts = parts.select("p_partkey", size["width_pt"].alias("w"), size["height_pt"].alias("h"))
-    return parts.select("p_partkey", "w", "h", g.is_landscape(*_w()).alias("landscape"), (F.coalesce(g.detect_format(*_w()), F.lit("")) == "A8").alias("is_a8"), g.size_description(*_w()).alias("description"))
+    files = files.select("p_partkey", size["width_pt"].alias("w"), size["height_pt"].alias("h"))
+    return files.select("p_partkey", "w", "h", g.is_landscape(*_w()).alias("landscape"), (F.coalesce(g.detect_format(*_w()), F.lit("")) == "A8").alias("is_a8"), g.size_description(*_w()).alias("description"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +130,9 @@ def c13_start_psm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c14_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("m", parse_metadata(_info()))
+    files = parts(spark, sf_dir, "p_size").withColumn("m", parse_metadata(_info()))
     s = g.effective_size(F.try_element_at("m", F.lit("Page size")), F.try_element_at("m", F.lit("Page rot")).try_cast("int"))
-    return parts.select("p_partkey", s["width_pt"].alias("width_pt"), s["height_pt"].alias("height_pt"))
+    return files.select("p_partkey", s["width_pt"].alias("width_pt"), s["height_pt"].alias("height_pt"))
 
 
 def _margins() -> Column:
@@ -150,7 +149,7 @@ MARGIN_SQL = f"""margin AS (SELECT p_partkey, {MARGINS_SQL} AS v, p_partkey % 6
 
 def c15_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = g.margins(_margins())
-    return table(spark, sf_dir, "part").select("p_partkey", *[m[k].alias(n) for k, n in enumerate(("t", "r", "b", "l"))])
+    return parts(spark, sf_dir).select("p_partkey", *[m[k].alias(n) for k, n in enumerate(("t", "r", "b", "l"))])
 
 
 def c16_crops(spark: SparkSession, sf_dir: str) -> DataFrame:

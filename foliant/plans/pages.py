@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import pdf_pages as p
 from ..sources.readers import plain_text
 from ..sources.writers import text_pdf
-from .common import spread, table
+from .common import parts
 
 
 def made(row: dict) -> bytes:
@@ -21,13 +21,9 @@ def shown(content: bytes | None) -> str | None:
     return None if content is None else "|".join((plain_text(content) or "").split("\f"))
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "part").select("p_partkey"))
-
-
 def _query(make, schema: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return p.mapped(_parts(spark, sf_dir), make, f"p_partkey long, {schema}")
+        return p.mapped(parts(spark, sf_dir), make, f"p_partkey long, {schema}")
 
     return query
 
@@ -72,7 +68,7 @@ def g4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     def files(row: dict) -> list[tuple]:
         return [(row["p_partkey"] // 3, row["p_partkey"], b"no file" if row["p_partkey"] % 10 == 0 else made(row))]
 
-    each = p.mapped(_parts(spark, sf_dir), files, "grp long, ord long, content binary")
+    each = p.mapped(parts(spark, sf_dir), files, "grp long, ord long, content binary")
     groups = each.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]).alias("contents"))
 
     def merged(row: dict) -> list[tuple]:

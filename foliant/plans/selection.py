@@ -11,7 +11,7 @@ from ..operators import cache, layout, pages, select
 from ..operators.provider import TextProvider
 from ..sources import registry as reg
 from ..sources.writers import attachment_name, wkhtmltopdf_command
-from .common import PHP_TRIM_SQL, quoted, r6, spread, table
+from .common import PHP_TRIM_SQL, parts, quoted, r6, spread, table
 from .quality import scores_sql
 
 # D: words from lineitem
@@ -336,12 +336,12 @@ def m1_writer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o3_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     command = wkhtmltopdf_command(F.when(k % 2 == 0, "A5").otherwise("A4"), F.when(k % 3 == 0, "Landscape"), (k % 20).cast("int"), F.lit("in.html"), F.lit("out.pdf"))
-    return table(spark, sf_dir, "part").select("p_partkey", command.alias("command"))
+    return parts(spark, sf_dir).select("p_partkey", command.alias("command"))
 
 
 def o4_invoice_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, "own.xml")
-    return table(spark, sf_dir, "part").select("p_partkey", attachment_name(given).alias("name"))
+    return parts(spark, sf_dir).select("p_partkey", attachment_name(given).alias("name"))
 
 
 QUERIES = {

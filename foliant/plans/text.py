@@ -10,7 +10,7 @@ from ..functions.lexicon import LANGUAGE_CODES
 from ..operators.invoice import has_invoice, invoice_of
 from ..operators.select import available_readers, longest_result, text_by_reader
 from ..sources.registry import READERS
-from .common import LANG_SQL, PHP_TRIM_SQL, quoted, table
+from .common import LANG_SQL, PHP_TRIM_SQL, parts, quoted, table
 from .geometry import INFO_SQL, _info
 
 BLANK_SQL = PHP_TRIM_SQL.format(x="text") + " <> ''"
@@ -112,21 +112,21 @@ def _file() -> tuple[Column, Column]:
 
 
 def b12_is_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", t.is_pdf(*_file()).alias("valid"))
+    return parts(spark, sf_dir).select("p_partkey", t.is_pdf(*_file()).alias("valid"))
 
 
 def b13_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", t.pdf_version(_file()[1]).alias("version"))
+    return parts(spark, sf_dir).select("p_partkey", t.pdf_version(_file()[1]).alias("version"))
 
 
 def b14_metadata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t.parse_metadata(_info())
-    return table(spark, sf_dir, "part").withColumn("m", m).select("p_partkey", F.size("m").cast("long").alias("keys"), *[F.try_element_at("m", F.lit(k)).alias(a) for k, a in (("Title", "title"), ("Page size", "page_size"), ("Language", "language"))])
+    return parts(spark, sf_dir, "p_size").withColumn("m", m).select("p_partkey", F.size("m").cast("long").alias("keys"), *[F.try_element_at("m", F.lit(k)).alias(a) for k, a in (("Title", "title"), ("Page size", "page_size"), ("Language", "language"))])
 
 
 def b15_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("m", t.parse_metadata(F.when(F.col("p_partkey") % 10 == 0, "Title: none").otherwise(_info())))
-    return parts.select("p_partkey", t.page_count(F.col("m")).cast("long").alias("pages"), t.page_count_or_null(F.col("m")).cast("long").alias("pages_or_null"))
+    files = parts(spark, sf_dir, "p_size").withColumn("m", t.parse_metadata(F.when(F.col("p_partkey") % 10 == 0, "Title: none").otherwise(_info())))
+    return files.select("p_partkey", t.page_count(F.col("m")).cast("long").alias("pages"), t.page_count_or_null(F.col("m")).cast("long").alias("pages_or_null"))
 
 
 def b16_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def b18_embedded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b19_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, content = _file()
     embedded = t.embedded_text(F.substring_index("p_name", " ", 1), F.lit(None).cast("string"), F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", (t.is_pdf(path, content) & ~embedded).alias("likely_scanned"))
+    return parts(spark, sf_dir, "p_name").select("p_partkey", (t.is_pdf(path, content) & ~embedded).alias("likely_scanned"))
 
 
 def b20_enough_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

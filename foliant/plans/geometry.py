@@ -109,7 +109,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_page_sizes(docs: DataFrame) -> DataFrame:
     """(doc, page_number, width_pt, height_pt): printed sizes, or the default size on every page where none is."""
-    read = docs.select("doc", g.page_size_lines(F.col("output")).alias("sizes"), parse_metadata(F.col("output")).alias("m"))
+    read = docs.select("doc", "output", g.page_size_lines(F.col("output")).alias("sizes"))
+    read = read.select("doc", "sizes", F.when(F.size("sizes") == 0, parse_metadata(F.col("output"))).alias("m"))
     default = g.parse_page_size(F.try_element_at("m", F.lit("Page size")))
     n = page_count(F.col("m"))
     repeated = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("page_number"), default["width_pt"].alias("width_pt"), default["height_pt"].alias("height_pt")))

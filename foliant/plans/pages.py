@@ -37,23 +37,23 @@ def _split(size: int):
     return lambda row: [(row["p_partkey"], name, p.page_count(x), shown(x)) for name, x in p.split(made(row), size)]
 
 
-def _box(content: bytes | None) -> tuple:
-    if content is None:
-        return None, None, None, None
-    page = p.pages_of(content)[-1]
-    return *(round(x, 2) for x in page.box[:2]), *(round(x, 2) for x in page.size)
+def _box(pages: list[p.Page] | None) -> tuple:
+    """The last page's box, and how many there are."""
+    if not pages:
+        return None, None, None, None, 0
+    return *(round(x, 2) for x in pages[-1].box[:2]), *(round(x, 2) for x in pages[-1].size), len(pages)
 
 
 def _cropped(row: dict) -> list[tuple]:
     k = row["p_partkey"]
     got = p.crop(made(row), k % 50, k % 30, 100 + k % 200, 0 if k % 11 == 0 else 50 + k % 100, k % 3)
-    return [(k, *_box(got), 0 if got is None else p.page_count(got))]
+    return [(k, *_box(None if got is None else p.pages_of(got)))]
 
 
 def _scaled(row: dict) -> list[tuple]:
     k = row["p_partkey"]
     got = p.scale(made(row), 100 + k % 400, 150 + k % 500)
-    return [(k, *_box(got)[2:], p.page_count(got), shown(got))]
+    return [(k, *_box(p.pages_of(got))[2:], shown(got))]
 
 
 def _rotated(row: dict) -> list[tuple]:

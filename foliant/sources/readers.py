@@ -135,7 +135,8 @@ class OcrMyPdf(ToolReader):
         return enough(SKIPPED.sub("", side.read_text("utf-8", "replace"))) if ran is not None and side.exists() else None
 
 
-_STREAM = re.compile(rb"<<(?P<dict>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n", re.S)
+_STREAM = re.compile(rb"<<(?P<dict>(?:[^<>]++|<<[^<>]*+>>|<[^<>]*+>)*)>>\s*stream\r?\n", re.S)
+_STREAM_LENGTH = re.compile(rb"/Length\s+(\d+)\b(?!\s+\d+\s+R)")
 _SHOWN = re.compile(rb"\((?P<text>(?:[^()\\]|\\.)*)\)\s*(?:Tj|')|\[(?P<array>(?:[^\]\\]|\\.)*)\]\s*TJ|(?P<line>T\*|\bTd\b|\bTD\b)", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
 
@@ -151,7 +152,7 @@ def _unescaped(raw: bytes) -> str:
 def streams(content: bytes) -> Iterator[tuple[bytes, bytes]]:
     """(dictionary, data) of a PDF's streams that are plain or deflated."""
     for m in _STREAM.finditer(content):
-        length = re.search(rb"/Length\s+(\d+)\b(?!\s+\d+\s+R)", m["dict"])
+        length = _STREAM_LENGTH.search(m["dict"])
         end = m.end() + int(length[1]) if length else content.find(b"endstream", m.end())
         data = content[m.end() : end]
         if b"FlateDecode" in m["dict"]:

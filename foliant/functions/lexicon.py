@@ -46,42 +46,43 @@ ERROR_PATTERNS = [
     r"""[^\s\p{Z}\p{L}\p{N}_.,;:\-()\[\]"'/&%€$§!?@#+=*]""",
 ]
 
-# Words that lost a letter, all without regard to ASCII case. Beside each, what its matches always hold.
+# Words that lost a letter, all without regard to ASCII case. Beside each, what its
+# matches always hold in lower case with each run of blanks as one space.
 BROKEN_WORDS = [
-    (r"G\s+bH", "bh"),
-    (r"\bf\s+r\b", ""),
-    (r"\b\w?\s+ber\b", "ber"),
-    (r"\b[aA]\s+ndern", "ndern"),
-    (r"gepr\s+ft", "gepr"),
-    (r"Gesch\s+fts", "gesch"),
-    (r"Jahresabschl\s+ss", "jahresabschl"),
-    (r"Grunds\s+tze", "grunds"),
-    (r"Verh\s+ltnissen", "ltnissen"),
-    (r"tats\s+chlichen", "chlichen"),
-    (r"ordnungsm\s+ig", "ordnungsm"),
-    (r"Buchf\s+hrung", "buchf"),
-    (r"Erl\s+uterungen", "uterungen"),
-    (r"zuk\s+nftigen", "nftigen"),
-    (r"einschlie\s+lich", "einschlie"),
-    (r"gem\s+\s", "gem"),
-    (r"ma\s+geblich", "geblich"),
-    (r"verf\s+gbar", "gbar"),
-    (r"Verm\s+gens", "gens"),
-    (r"Finanz\s+bersicht", "bersicht"),
+    (r"G\s+bH", "g bh"),
+    (r"\bf\s+r\b", "f r"),
+    (r"\b\w?\s+ber\b", " ber"),
+    (r"\b[aA]\s+ndern", "a ndern"),
+    (r"gepr\s+ft", "gepr ft"),
+    (r"Gesch\s+fts", "gesch fts"),
+    (r"Jahresabschl\s+ss", "jahresabschl ss"),
+    (r"Grunds\s+tze", "grunds tze"),
+    (r"Verh\s+ltnissen", "verh ltnissen"),
+    (r"tats\s+chlichen", "tats chlichen"),
+    (r"ordnungsm\s+ig", "ordnungsm ig"),
+    (r"Buchf\s+hrung", "buchf hrung"),
+    (r"Erl\s+uterungen", "erl uterungen"),
+    (r"zuk\s+nftigen", "zuk nftigen"),
+    (r"einschlie\s+lich", "einschlie lich"),
+    (r"gem\s+\s", "gem "),
+    (r"ma\s+geblich", "ma geblich"),
+    (r"verf\s+gbar", "verf gbar"),
+    (r"Verm\s+gens", "verm gens"),
+    (r"Finanz\s+bersicht", "finanz bersicht"),
     (r"\bUberweisung", "uberweisung"),
     (r"\bUbersicht", "ubersicht"),
     (r"\bUber\b", "uber"),
     (r"\b0ffentlich", "0ffentlich"),
-    (r"Geb\s+hren", "hren"),
-    (r"Kontoaus\s+ge", "kontoaus"),
-    (r"Empf\s+nger", "empf"),
-    (r"Beg\s+nstigter", "nstigter"),
-    (r"Auftr\s+ge", "auftr"),
-    (r"Betr\s+ge", "betr"),
-    (r"R\s+ckbuchung", "ckbuchung"),
-    (r"Geb\s+hr", "geb"),
-    (r"Stra\s+e\b", "stra"),
-    (r"Ma\s+nahme", "nahme"),
+    (r"Geb\s+hren", "geb hren"),
+    (r"Kontoaus\s+ge", "kontoaus ge"),
+    (r"Empf\s+nger", "empf nger"),
+    (r"Beg\s+nstigter", "beg nstigter"),
+    (r"Auftr\s+ge", "auftr ge"),
+    (r"Betr\s+ge", "betr ge"),
+    (r"R\s+ckbuchung", "r ckbuchung"),
+    (r"Geb\s+hr", "geb hr"),
+    (r"Stra\s+e\b", "stra e"),
+    (r"Ma\s+nahme", "ma nahme"),
 ]
 
 # Weights of the word, umlaut, character, length and missing-character scores.

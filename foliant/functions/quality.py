@@ -25,9 +25,16 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
+def _holds(text: Column, *literals: str) -> Column:
+    found = text.contains(literals[0])
+    for x in literals[1:]:
+        found = found | text.contains(x)
+    return found
+
+
 def flattened(text: Column) -> Column:
     """Each run of ASCII blanks as one space."""
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.when(_holds(text, "  ", *"\n\t\r\f\x0b"), F.regexp_replace(text, r"\s{2,}|[^\S ]", " ")).otherwise(text)
 
 
 def _visible(flat: Column) -> Column:
@@ -42,18 +49,21 @@ def token_count(text: Column, flat: Column | None = None) -> Column:
 
 def normalised(text: Column) -> Column:
     """Runs of blanks but line feeds become one space; spaces at line edges go."""
-    return F.regexp_replace(F.regexp_replace(text, r"[^\S\n]{2,}|[\t\x0b\f\r]", " "), "(?md)^ | $", "")
+    single = F.when(_holds(text, "  ", *"\t\r\f\x0b"), F.regexp_replace(text, r"[^\S\n]{2,}|[\t\x0b\f\r]", " ")).otherwise(text)
+    return F.regexp_replace(single, "(?md)^ | $", "")
 
 
 def missing_score(text: Column, norm: Column | None = None, low: Column | None = None) -> Column:
-    """Letters that stand alone before a word, and known words with a letter lost, for each 1000 characters."""
+    """Letters that stand alone before a word, and known words with a letter lost, for each 1000 characters.
+
+    ``low``: the text in lower case, each run of blanks as one space.
+    """
     t = normalised(text) if norm is None else norm
-    low = F.lower(t) if low is None else low
+    low = F.lower(flattened(text)) if low is None else low
     single = _count(t, r" (?<=\p{L} )\p{L} (?=\p{L}{2})")
     known = F.lit(0.0)
     for pattern, literal in BROKEN_WORDS:
-        n = _count(t, f"(?i){pattern}")
-        known = known + _count_where(low, literal, n)
+        known = known + _count_where(low, literal, _count(t, f"(?i){pattern}"))
     # Multiplied before it is divided: the other way round a score of 0 comes out as 1e-14, which counts as above 0.
     return _clamp(100 - 15 * (2 * single + 3 * known) / F.greatest(F.lit(1.0), F.length(t) / 1000))
 
@@ -75,17 +85,23 @@ def hits(text: Column, words: list[str], flat: Column | None = None) -> Column:
     return F.regexp_count(clean, F.lit(f" {one_of(words)}(?= |$)"))
 
 
-SHARED_WORDS = [w for w in dict.fromkeys(GERMAN_WORDS) if w in ENGLISH_WORDS]
+BOTH_WORDS = [*dict.fromkeys(GERMAN_WORDS + ENGLISH_WORDS)]
+
+
+def _of_language(language: Column, german: Column, english: Column, both: Column) -> Column:
+    deu, eng = language.contains("deu"), language.contains("eng")
+    return F.when(deu & ~eng, german).when(eng & ~deu, english).otherwise(both)
+
+
+def listed(text: Column, language: Column, flat: Column | None = None) -> Column:
+    """Hits in the language's list: of the three counts only the one that is asked for runs."""
+    return _of_language(language, *(hits(text, words, flat) for words in (GERMAN_WORDS, ENGLISH_WORDS, BOTH_WORDS)))
 
 
-def word_score(text: Column, language: Column, german: Column | None = None, english: Column | None = None, flat: Column | None = None) -> Column:
+def word_score(text: Column, language: Column, n: Column | None = None, flat: Column | None = None) -> Column:
     """Share of tokens in the language's list, over 500 tokens at most, ten times over."""
     flat = flattened(text) if flat is None else flat
-    german = hits(text, GERMAN_WORDS, flat) if german is None else german
-    english = hits(text, ENGLISH_WORDS, flat) if english is None else english
-    both = german + english - hits(text, SHARED_WORDS, flat) if SHARED_WORDS else german + english
-    deu, eng = language.contains("deu"), language.contains("eng")
-    n = F.when(deu & ~eng, german).when(eng & ~deu, english).otherwise(both)
+    n = listed(text, language, flat) if n is None else n
     return F.least(F.lit(100.0), n / F.least(token_count(text, flat), F.lit(500)) * 1000)
 
 
@@ -100,11 +116,18 @@ def _literal(pattern: str) -> str:
     return body if body.isalpha() else ""
 
 
-def wrong_umlauts(text: Column, low: Column | None = None) -> Column:
+DOUBLED = "[a-z]ii[a-z]"  # a sign of wrong umlauts as well as of errors
+
+
+def doubled(text: Column, low: Column) -> Column:
+    return _count_where(low, "ii", _count(text, f"(?i){DOUBLED}"))
+
+
+def wrong_umlauts(text: Column, low: Column | None = None, ii: Column | None = None) -> Column:
     low, wrong = F.lower(text) if low is None else low, F.lit(0.0)
     for pattern, follower in WRONG_UMLAUTS:
         n = _count(text, f"(?i){pattern}(?!{follower})" if follower else f"(?i){pattern}")
-        wrong = wrong + _count_where(low, _literal(pattern), n)
+        wrong = wrong + (ii if ii is not None and pattern == DOUBLED else _count_where(low, _literal(pattern), n))
     return wrong
 
 
@@ -115,9 +138,9 @@ def umlaut_score(text: Column, language: Column, wrong: Column | None = None, um
     return _clamp(F.when(language.contains("deu"), german).otherwise(80 - 2 * wrong))
 
 
-def clean_score(text: Column, low: Column | None = None) -> Column:
+def clean_score(text: Column, low: Column | None = None, ii: Column | None = None) -> Column:
     low = F.lower(text) if low is None else low
-    errors = sum((_count_where(low, _literal(p), _count(text, p)) for p in ERROR_PATTERNS), F.lit(0.0))
+    errors = sum((ii if ii is not None and p == f"(?i){DOUBLED}" else _count_where(low, _literal(p), _count(text, p)) for p in ERROR_PATTERNS), F.lit(0.0))
     return F.when(F.length(text) == 0, 0.0).otherwise(_clamp(100 - errors / (F.length(text) / 100) * 10))
 
 
@@ -135,23 +158,26 @@ PARTS: dict[str, Callable] = {
     "length_score": lambda t, _: length_score(t),
     "missing_score": lambda t, _: missing_score(t),
 }
-MEASURES = ["_flat", "_norm", "_low", "_german", "_english", "_wrong", "_umlauts", "_clean_score", "_length_score", "_missing_score"]
+MEASURES = ["_flat", "_hits", "_german", "_english", "_both", "_wrong", "_umlauts", "_clean_score", "_length_score", "_missing_score"]
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """What scoring a text needs that doesn't depend on the language, each computed once a text."""
+def with_measures(df: DataFrame, text: str = "text", language: Column | None = None) -> DataFrame:
+    """What scoring a text needs beside its language, each computed once a text; hits only in ``language`` if that is given."""
     t = F.col(text)
     out = df.withColumns({"_flat": flattened(t), "_norm": normalised(t), "_low": F.lower(t), "_umlauts": _count(t, UMLAUTS)})
-    flat, low = F.col("_flat"), F.col("_low")
-    out = out.withColumns({"_wrong": wrong_umlauts(t, low), "_clean_score": clean_score(t, low)})
-    out = out.withColumns({"_low": F.lower("_norm"), "_german": hits(t, GERMAN_WORDS, flat), "_english": hits(t, ENGLISH_WORDS, flat), "_length_score": length_score(t, flat)})
-    return out.withColumn("_missing_score", missing_score(t, F.col("_norm"), F.col("_low"))).drop("_norm", "_low")
+    flat, low, ii = F.col("_flat"), F.col("_low"), F.col("_ii")
+    out = out.withColumn("_ii", doubled(t, low))
+    out = out.withColumns({"_wrong": wrong_umlauts(t, low, ii), "_clean_score": clean_score(t, low, ii), "_length_score": length_score(t, flat)})
+    counts = {"_german": hits(t, GERMAN_WORDS, flat), "_english": hits(t, ENGLISH_WORDS, flat), "_both": hits(t, BOTH_WORDS, flat)} if language is None else {"_hits": listed(t, language, flat)}
+    out = out.withColumns({"_low": F.lower(flat)} | counts)
+    return out.withColumn("_missing_score", missing_score(t, F.col("_norm"), F.col("_low"))).drop("_norm", "_low", "_ii")
 
 
 def scored(measured: DataFrame, text: str, language: Column, into: str = "score", parts: bool = False) -> DataFrame:
     """The score of texts with measures, in a language for each row."""
     t = F.col(text)
-    out = measured.withColumns({"_word_score": word_score(t, language, F.col("_german"), F.col("_english"), F.col("_flat")), "_umlaut_score": umlaut_score(t, language, F.col("_wrong"), F.col("_umlauts"))})
+    n = F.col("_hits") if "_hits" in measured.columns else _of_language(language, F.col("_german"), F.col("_english"), F.col("_both"))
+    out = measured.withColumns({"_word_score": word_score(t, language, n, F.col("_flat")), "_umlaut_score": umlaut_score(t, language, F.col("_wrong"), F.col("_umlauts"))})
     total = sum((F.col(f"_{k}") * w for k, w in zip(PARTS, WEIGHTS, strict=True)), F.lit(0.0))
     blank = t.isNull() | php_trim(t).isin("", "0")
     score = F.when(blank, 0.0).when(F.col("_missing_score") < SEVERE, F.col("_missing_score")).otherwise(total)
@@ -164,7 +190,8 @@ def with_quality(df: DataFrame, text: str = "text", language: str | Column = LAN
 
     Null, blank and "0" texts score 0. A text whose missing-character score is severe scores just that.
     """
-    return scored(with_measures(df, text), text, F.lit(language) if isinstance(language, str) else language, into, parts)
+    language = F.lit(language) if isinstance(language, str) else language
+    return scored(with_measures(df, text, language), text, language, into, parts)
 
 
 def page_scores(df: DataFrame, key: str, text: str = "text", language: str = LANGUAGE, threshold: float = THRESHOLD, drop_trailing_empty: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ def test_average_leaves_out_zero(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["A8_best_result", "E11_language"])
 def test_no_language_without_a_score(spark, tmp_path, name):
-    docs = [(k, severe(k)) for k in range(4, 30)] + [(100 + k, severe(k)[4:]) for k in range(4, 30)]
+    docs = [(k, severe(k)) for k in range(4, 30)] + [(100 + k, severe(k)[3:]) for k in range(4, 30)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["language"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[1] for r in connection(str(tmp_path)).execute(registry.ORACLE[name]).fetchall()}

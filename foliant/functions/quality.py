@@ -231,6 +231,6 @@ def best_result(df: DataFrame, key: str, order: str, text: str = "text", languag
 
 def _best(rows: DataFrame, key: str, order: str, text: str, language: str) -> DataFrame:
     rows = rows.withColumn("score", F.when(F.col(text).isin("", "0"), 0.0).otherwise(F.col("score")))
-    best = F.max_by(F.struct(F.col(text).alias("text"), F.col(language).alias("language"), "score"), F.when(F.col("score") > 0, F.struct(F.col("score"), -F.col(order))))
+    best = F.max_by(F.struct(F.col(text).alias("text"), F.col(language).alias("language"), "score"), F.when(F.col("score") > 0, F.struct(F.round("score", 12), -F.col(order))))
     empty = F.struct(F.lit("").alias("text"), F.lit("").alias("language"), F.lit(0.0).alias("score"))
     return rows.groupBy(key).agg(F.coalesce(best, empty).alias("best")).select(key, "best.text", "best.language", "best.score")

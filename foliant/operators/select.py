@@ -52,7 +52,7 @@ def ocr_waterfall(candidates: DataFrame, key: str, options: Options = Options())
     order = F.struct("priority", "reader")
     first = F.min_by(_result(), order)
     passing = F.min_by(_result(), F.when(F.col("score") >= options.threshold, order))
-    best = F.max_by(_result(), F.struct(F.col("score"), -F.col("priority")))
+    best = F.max_by(_result(), F.struct(F.round("score", 12), -F.col("priority")))
     return scored.groupBy(key).agg((F.coalesce(passing, best) if options.quality_check else first).alias("result"))
 
 

@@ -34,3 +34,8 @@ def test_no_language_without_a_score(spark, tmp_path, name):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["language"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[1] for r in connection(str(tmp_path)).execute(registry.ORACLE[name]).fetchall()}
+
+
+def test_equal_to_twelve_digits_is_a_tie(spark):
+    rows = spark.createDataFrame([(1, 0, "deu", "a", 50.0), (1, 1, "eng", "b", 50.00000000000001), (2, 0, "deu", "a", 50.0), (2, 1, "eng", "b", 50.0001)], "k int, o int, language string, text string, score double")
+    assert {r["k"]: r["language"] for r in q._best(rows, "k", "o", "text", "language").collect()} == {1: "deu", 2: "eng"}
